@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramlode.workers import reachable
+
 #: Bytes of one Arrow batch sent to a Python worker: long texts make short batches.
 BATCH_BYTES = 4 << 20
 
@@ -15,7 +17,7 @@ BATCH_BYTES = 4 << 20
 def session(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches by bytes, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
+    return reachable(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,8 @@
    n - ceil(0.75 n) + 1 shingles, and with a prefix longer by k shingles they share k + 1. A set whose prefix
    has no shared shingle is linked with no other text. For the others, the prefix is lengthened up to
    MAX_MATCHES as long as the estimated cost of scanning and verifying its candidates falls.
-3. Candidates with the required number of matches are verified on the whole sets (`linkage.link`).
+3. Candidates with the required number of matches are verified on the whole sets (`linkage.link`). The
+   leader of a bucket is the set with the fewest shingles of its own, as the original of many near copies is.
 
 Defined results: null, empty and wordless texts have no shingles and form components of their own; a
 row with a null id links with nothing and has a null component; repeated rows are one class; other columns
@@ -222,19 +223,28 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row."""
     found = profile(docs, key, text)
     sets = found.where("tokens is not null").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "tokens", "n_prefix", "matches")
-    keys = sets.select(F.explode(F.slice("tokens", 1, F.col("n_prefix"))).alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "matches")
+    keys = sets.select(F.explode(F.slice("tokens", 1, F.col("n_prefix"))).alias("key"), F.col("doc_id").alias("id"), (F.col("n_shingles") - F.size("tokens")).alias("own_shingles"), F.size("tokens").cast("long").alias("shared"), F.col("n_shingles").alias("n"), "matches")
+
+    def verifier(ids: DataFrame):
+        return verify
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("tokens").alias("ta"))
         b = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("tokens").alias("tb"))
         both = pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("i"))
         union = F.col("na") + F.col("nb") - F.col("i")
-        return both.select("a", "b", (DEN * F.col("i") >= NUM * union).alias("linked"), (1 - F.col("i") / union).alias("distance"))
+        return both.select("a", "b", (DEN * F.col("i") >= NUM * union).alias("linked"), F.col("i").alias("common"))
 
     def admit(x: str, y: str):
-        return (DEN * F.col(f"{x}.n") >= NUM * F.col(f"{y}.n")) & (DEN * F.col(f"{y}.n") >= NUM * F.col(f"{x}.n"))
+        # an intersection is no larger than the shared shingles of either side: (DEN + NUM) i >= NUM (n + m)
+        return (DEN + NUM) * F.least(f"{x}.shared", f"{y}.shared") >= NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+    def apart(x: str, y: str):
+        # what both have of the leader, and what both have besides
+        most = F.least(f"{x}.common", f"{y}.common") + F.least(F.col(f"{x}.shared") - F.col(f"{x}.common"), F.col(f"{y}.shared") - F.col(f"{y}.common"))
+        return (DEN + NUM) * most < NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
-    linked = linkage.link(keys, verify, admit, ["n", "matches"], lambda x, y: F.least(f"{x}.matches", f"{y}.matches"))
+    linked = linkage.link(keys, verifier, admit, ["own_shingles", "shared", "n", "matches"], lambda x, y: F.least(f"{x}.matches", f"{y}.matches"), apart)
     sizes = found.groupBy("class_id").agg(F.count("*").alias("_rows")).where("class_id is not null")
     classes = stored(linked.withColumnRenamed("id", "class_id").join(sizes, "class_id"), "linked-classes")
     rows = lookup(found.select("doc_id", "n_shingles", "class_id"), classes, "class_id", "_rows")

@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     if hooks is None:
         kind = edges.schema["a"].dataType.simpleString()
         return spark.createDataFrame([], f"id {kind}, component {kind}")
-    forest = stored(hooks, "forest")
+    forest = hooks
     while True:
         up = forest.select(F.col("a").alias("to"), F.col("to").alias("up"))
         jumped = stored(forest.join(up, "to", "left").select("a", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")), "forest")
@@ -46,42 +46,47 @@ def components(edges: DataFrame) -> DataFrame:
     return forest.select(F.col("a").alias("id"), F.col("to").alias("component")).unionByName(roots)
 
 
-def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], admit=None, extra: list[str] | None = None, least_shared=None) -> DataFrame:
+def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], admit, extra: list[str], least_shared=None, apart=None) -> DataFrame:
     """(id, component) of the rows that verified links join.
 
     keys: (key, id, *extra), unique; two ids with a common key are compared unless a component already holds both.
-    verify: takes candidate pairs (a, b) and returns them with `linked` and `distance` (a metric, or null).
+    The leader of a key is its first member by the extra columns, in their order, and then by id.
+    verifier(ids): gets every id that can be compared (a superset) and gives a function that takes candidate
+    pairs (a, b) and returns them with `linked` and facts of the comparison.
     admit(x, y): a condition on the extra columns of both sides that every link fulfils.
+    apart(x, y): a condition on the extra columns and on the facts of both sides' comparison with their
+    leader, that only members of one leader that are not linked fulfil.
     least_shared(x, y): how many keys two linked ids have in common at least (default 1).
     """
-    extra = extra or []
-    buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_most")).where("leader < _most").drop("_most")
-    keys = stored(keys.join(buckets, "key"), "keys")
+    whole = F.struct(*extra, "id")
+    buckets = keys.groupBy("key").agg(F.min(whole).alias("lead"), F.count("*").alias("_members")).where("_members > 1")
+    fits = (F.col("lead.id") != F.col("own.id")) & admit("lead", "own")
+    keys = stored(keys.withColumn("own", whole).join(buckets, "key").withColumn("_fits", fits), "keys")
     # round 1: one leader for each member
-    first = keys.where("leader < id").groupBy("id").agg(F.min("leader").alias("leader"))
-    judged = stored(verify(first.select(F.col("leader").alias("a"), F.col("id").alias("b"))), "leader-pairs")
+    first = stored(keys.where("_fits").groupBy("id").agg(F.min("lead").alias("lead")).select(F.col("lead.id").alias("a"), F.col("id").alias("b")), "leaders")
+    # whoever may be compared: members that fit their leader, the leaders, and members of buckets with more than one pair
+    many = keys.where("_members > 2 or _fits").select(F.explode(F.array("id", "lead.id")).alias("id"))
+    verify = verifier(many.distinct())
+    judged = stored(verify(first), "leader-pairs")
     found = stored(components(judged.where("linked").select("a", "b")), "components")
     # round 2: members of different components that share a key
-    near = judged.select(F.col("b").alias("id"), F.col("a").alias("near"), "distance")
-    sides = keys.drop("leader").join(found, "id", "left").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    near = judged.select(F.col("b").alias("id"), F.col("a").alias("near"), *(c for c in judged.columns if c not in ("a", "b", "linked")))
+    sides = keys.select("key", "id", *extra).join(found, "id", "left").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = sides.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
     sides = stored(sides.join(mixed, "key"), "mixed")
     x, y = sides.alias("x"), sides.alias("y")
-    # distances to one leader differ by no more than the distance of two linked members
-    metric = F.col("x.near").eqNullSafe(F.col("y.near")) & F.col("x.distance").isNotNull() & F.col("y.distance").isNotNull()
-    far = F.coalesce(metric & (F.abs(F.col("x.distance") - F.col("y.distance")) > MAX_DISTANCE + 1e-9), F.lit(False))
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & ~far
-    if admit is not None:
-        on = on & admit("x", "y")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & admit("x", "y")
+    if apart is not None:
+        on = on & ~F.coalesce((F.col("x.near") == F.col("y.near")) & apart("x", "y"), F.lit(False))
     pairs = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *([least_shared("x", "y").alias("_least")] if least_shared else []))
     if least_shared:
         pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("_n"), F.first("_least").alias("_least")).where("_n >= _least").select("a", "b")
     else:
         pairs = pairs.distinct()
-    rest = stored(verify(pairs), "rest-pairs").where("linked").select("a", "b")
+    done = judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "rest")
     star = found.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    if pairs.isEmpty():
+        return found
+    rest = stored(verify(pairs), "rest-pairs").where("linked").select("a", "b")
     return stored(components(star.unionByName(rest)), "components")
-
-
-#: The largest distance of linked rows where `verify` gives one: 1 - 0.75.
-MAX_DISTANCE = 0.25

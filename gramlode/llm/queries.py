@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, jaccard, pieces, pii, quality, warc
+from . import decontamination, html_text, jaccard, line_dedup, pieces, pii, quality, warc
 from .common import session, table
 
 
@@ -16,6 +16,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_html_extraction": op2_html_extraction,
+    "op3_line_dedup": op3_line_dedup,
     "op4_pii": op4_pii,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
