@@ -244,7 +244,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         most = F.least(f"{x}.common", f"{y}.common") + F.least(F.col(f"{x}.shared") - F.col(f"{x}.common"), F.col(f"{y}.shared") - F.col(f"{y}.common"))
         return (DEN + NUM) * most < NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
-    linked = linkage.link(keys, verifier, admit, ["own_shingles", "shared", "n", "matches"], lambda x, y: F.least(f"{x}.matches", f"{y}.matches"), apart)
+    def once(x: str, y: str):
+        # enough matches in the prefixes, and the key is the least of them
+        both = F.array_intersect(f"{x}.prefix", f"{y}.prefix")
+        return (F.array_min(both) == F.col(f"{x}.key")) & (F.size(both) >= F.least(f"{x}.matches", f"{y}.matches"))
+
+    prefixes = sets.select(F.col("doc_id").alias("id"), F.slice("tokens", 1, F.col("n_prefix")).alias("prefix"))
+    linked = linkage.link(keys, verifier, admit, ["own_shingles", "shared", "n", "matches"], apart, prefixes, once)
     sizes = found.groupBy("class_id").agg(F.count("*").alias("_rows")).where("class_id is not null")
     classes = stored(linked.withColumnRenamed("id", "class_id").join(sizes, "class_id"), "linked-classes")
     rows = lookup(found.select("doc_id", "n_shingles", "class_id"), classes, "class_id", "_rows")

@@ -46,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     return forest.select(F.col("a").alias("id"), F.col("to").alias("component")).unionByName(roots)
 
 
-def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], admit, extra: list[str], least_shared=None, apart=None) -> DataFrame:
+def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], admit, extra: list[str], apart=None, detail: DataFrame | None = None, once=None) -> DataFrame:
     """(id, component) of the rows that verified links join.
 
     keys: (key, id, *extra), unique; two ids with a common key are compared unless a component already holds both.
@@ -56,7 +56,8 @@ def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame],
     admit(x, y): a condition on the extra columns of both sides that every link fulfils.
     apart(x, y): a condition on the extra columns and on the facts of both sides' comparison with their
     leader, that only members of one leader that are not linked fulfil.
-    least_shared(x, y): how many keys two linked ids have in common at least (default 1).
+    detail: (id, ...), one row per id, whose columns `once` needs.
+    once(x, y): a condition that holds for at most one common key of two members, and for one if they are linked.
     """
     whole = F.struct(*extra, "id")
     buckets = keys.groupBy("key").agg(F.min(whole).alias("lead"), F.count("*").alias("_members")).where("_members > 1")
@@ -73,16 +74,16 @@ def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame],
     near = judged.select(F.col("b").alias("id"), F.col("a").alias("near"), *(c for c in judged.columns if c not in ("a", "b", "linked")))
     sides = keys.select("key", "id", *extra).join(found, "id", "left").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = sides.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
-    sides = stored(sides.join(mixed, "key"), "mixed")
+    sides = sides.join(mixed, "key")
+    sides = stored(sides if detail is None else sides.join(detail, "id"), "mixed")
     x, y = sides.alias("x"), sides.alias("y")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & admit("x", "y")
     if apart is not None:
         on = on & ~F.coalesce((F.col("x.near") == F.col("y.near")) & apart("x", "y"), F.lit(False))
-    pairs = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *([least_shared("x", "y").alias("_least")] if least_shared else []))
-    if least_shared:
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("_n"), F.first("_least").alias("_least")).where("_n >= _least").select("a", "b")
-    else:
-        pairs = pairs.distinct()
+    if once is not None:
+        on = on & once("x", "y")
+    pairs = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = pairs if once is not None else pairs.distinct()
     done = judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "rest")
     star = found.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import session, stored
+from .common import session, stored, tidy
 from .exchange import bucket_bits, dealt, grouped
 from .fm_index import FMIndex
 from .words import SPACE_WORDS, Texts, Windows, mix, slices, window_starts
@@ -43,7 +43,7 @@ LANE = 32
 HOT_SEGMENTS = 20_000
 HOT_SPLIT = 64
 #: Bytes of text for one shard: a shard's words are about a quarter of the words of that text.
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 24 << 20
 
 
 def sliding(values: np.ndarray, width: int, what=np.minimum) -> np.ndarray:
@@ -283,13 +283,13 @@ def _search(batches):
 def repeated(docs: DataFrame) -> DataFrame:
     """(row, whole, from, to): word ranges of every document (row, text) that repeated windows cover."""
     bits = bucket_bits(docs)
-    met = dealt(docs.mapInArrow(_send(bits), _ROW_DDL), "bucket").mapInArrow(_meet, _ROW_DDL)
-    plans = dealt(met, "slice").mapInArrow(_plans, "row long, whole boolean, start array<int>, count array<int>, fate array<int>, anchor array<long>")
+    met = dealt(docs.mapInArrow(tidy(_send(bits)), _ROW_DDL), "bucket").mapInArrow(tidy(_meet), _ROW_DDL)
+    plans = dealt(met, "slice").mapInArrow(tidy(_plans), "row long, whole boolean, start array<int>, count array<int>, fate array<int>, anchor array<long>")
     plans = stored(plans.dropDuplicates(["row"]), "segments")
     need = plans.where(F.exists("fate", lambda f: f > REPEATED)).drop("whole")
     shards = bucket_bits(docs, per=SHARD_BYTES, least=4)
-    words = docs.dropDuplicates(["row"]).join(need, "row").mapInArrow(_words(shards), "shard long, row binary, start binary, count binary, search binary, words binary")
-    found = dealt(words, "shard").mapInArrow(_search, "row long, `from` array<int>, `to` array<int>")
+    words = docs.dropDuplicates(["row"]).join(need, "row").mapInArrow(tidy(_words(shards)), "shard long, row binary, start binary, count binary, search binary, words binary")
+    found = dealt(words, "shard").mapInArrow(tidy(_search), "row long, `from` array<int>, `to` array<int>")
     known = F.filter(F.arrays_zip("start", "count", "fate"), lambda s: s["fate"].isin(REPEATED, INDEXED, HOT + 1))
     plain = plans.select("row", "whole", F.transform(known, lambda s: s["start"]).alias("from"), F.transform(known, lambda s: s["start"] + s["count"] + (WINDOW - 1)).alias("to"))
     both = plain.unionByName(found.withColumn("whole", F.lit(False)))
@@ -335,4 +335,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     found = repeated(source.select("row", "text"))
     joined = source.select("key", "row", "text").join(found, "row", "left").select("key", "text", "whole", "from", "to")
     fields = [T.StructField("key", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
-    return joined.mapInArrow(_apply("key"), T.StructType(fields)).withColumnRenamed("key", key)
+    return joined.mapInArrow(tidy(_apply("key")), T.StructType(fields)).withColumnRenamed("key", key)
