@@ -23,6 +23,17 @@ def bucket_bits(docs: DataFrame, text: str = "text", per: int = BUCKET_BYTES, le
     return max(least, int(np.ceil(np.log2(max(1, total / per)))))
 
 
+def bucket_count(docs: DataFrame, text: str = "text", per: int = BUCKET_BYTES, least: int = 8) -> int:
+    """Number of buckets so that each holds the values of about `per` bytes of text."""
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(least, -(-total // per))
+
+
+def bucket_of(values: np.ndarray, n: int) -> np.ndarray:
+    """A bucket below n (less than 2^32) from the high bits of 64-bit hashes."""
+    return ((values >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
     """(key, rows) for rows that come sorted by `key`."""
     at, held = None, []

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linkage
-from .common import lookup, session, stored
-from .exchange import bucket_bits, dealt, grouped, pack48, unpack48
+from .common import lookup, session, stored, tidy
+from .exchange import bucket_count, bucket_of, dealt, grouped, pack48, unpack48
 from .words import SPACE_WORDS, Texts, Windows, mix, slices, window_starts
 
 WORDS = 5
@@ -34,6 +34,7 @@ MAX_MATCHES = 4
 #: Verifying a candidate costs about as much as scanning this many list entries.
 VERIFY_COST = 20
 SLICE_BYTES = 4 << 20
+BUCKET_BYTES = 24 << 20
 
 
 def shingles(texts: Texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +64,7 @@ def signatures(docs: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 _ROW = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("counts", pa.binary()), ("sigs", pa.binary()), ("tokens", pa.binary())])
 
 
-def _send(bits: int, key: str, text: str):
+def _send(buckets: int, key: str, text: str):
     """Rows (bucket, slice, ...): shingles and set signatures of a slice by bucket; bucket -1 keeps the slice's ids."""
 
     def run(batches):
@@ -86,23 +87,24 @@ def _send(bits: int, key: str, text: str):
             sent[once] = True
             mine = sent[docs]
             docs, values = docs[mine], values[mine]
-            bucket = (values >> np.uint64(64 - bits)).astype(np.int64)
+            bucket = bucket_of(values, buckets)
             order = np.lexsort((docs, bucket))
             docs, values, bucket = docs[order], values[order], bucket[order]
-            of_sig = (sigs[once] >> np.uint64(64 - bits)).astype(np.int64)
-            edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+            of_sig = bucket_of(sigs[once], buckets)
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in np.union1d(bucket, of_sig).tolist():
                 a, z = edges[b], edges[b + 1]
                 own, counts = np.unique(docs[a:z], return_counts=True)
                 s = once[of_sig == b]
-                head = np.array([len(own), len(s)], dtype="<i4").tobytes()
-                rows.append((b, base + k, head + own.astype("<i4").tobytes() + counts.astype("<i4").tobytes(), s.astype("<i4").tobytes() + sigs[own].astype("<u8").tobytes() + sigs[s].astype("<u8").tobytes() + ids[s].astype("<i8").tobytes(), pack48(values[a:z])))
+                wide = "<u2" if len(ids) <= 1 << 16 and (not len(counts) or counts.max() < 1 << 16) else "<u4"
+                head = np.array([len(own), len(s), int(wide[2])], dtype="<i4").tobytes()
+                rows.append((b, base + k, head + own.astype(wide).tobytes() + counts.astype(wide).tobytes(), s.astype("<i4").tobytes() + sigs[s].astype("<u8").tobytes() + ids[s].astype("<i8").tobytes() + pack48(sigs[own]), pack48(values[a:z])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ROW.types)], schema=_ROW)
 
     return run
 
 
-def _count(bits: int):
+def _count(buckets: int):
     """Per bucket: shingles that two sets or more have, with their frequency, and the smallest id of each set."""
 
     def run(batches):
@@ -113,11 +115,10 @@ def _count(bits: int):
                 continue
             parts = []
             for r in rows:
-                n, m = np.frombuffer(r["counts"], "<i4", 2).tolist()
-                own, counts = np.frombuffer(r["counts"], "<i4", 2 * n, 8).reshape(2, n)
-                s = np.frombuffer(r["sigs"], "<i4", m)
-                sig, set_sig = np.frombuffer(r["sigs"], "<u8", n, 4 * m), np.frombuffer(r["sigs"], "<u8", m, 4 * m + 8 * n)
-                parts.append((own, counts, sig, s, set_sig, np.frombuffer(r["sigs"], "<i8", m, 4 * m + 8 * n + 8 * m), unpack48(r["tokens"])))
+                n, m, wide = np.frombuffer(r["counts"], "<i4", 3).tolist()
+                own, counts = np.frombuffer(r["counts"], f"<u{wide}", 2 * n, 12).reshape(2, n)
+                s, set_sig, ids = np.frombuffer(r["sigs"], "<i4", m), np.frombuffer(r["sigs"], "<u8", m, 4 * m), np.frombuffer(r["sigs"], "<i8", m, 12 * m)
+                parts.append((own, counts, unpack48(r["sigs"][20 * m :]), s, set_sig, ids, unpack48(r["tokens"])))
             tokens = np.concatenate([p[6] for p in parts])
             sig = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
             order = np.lexsort((sig, tokens))
@@ -129,18 +130,19 @@ def _count(bits: int):
             group = np.cumsum(fresh) - 1
             df = np.empty(len(t), dtype=np.int64)
             df[order] = np.bincount(group, weights=other)[group] if len(t) else 0
+            del t, g, fresh, other, group, order
             sets, ids = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
             smallest = {}
             for x, i in zip(sets.tolist(), ids.tolist()):
                 smallest[x] = min(i, smallest.get(x, i))
             at, out = 0, []
-            top = np.uint64(bucket) << np.uint64(64 - bits)
+            top = np.uint64(bucket & 0xFFFF) << np.uint64(48)
             for r, (own, counts, _, s, set_sig, _, mine) in zip(rows, parts):
                 d = df[at : at + len(mine)]
                 at += len(mine)
                 keep = d >= 2
                 who = np.repeat(own, counts)[keep].astype("<i4")
-                value = (mine[keep] | (top & ~np.uint64((1 << 48) - 1))).astype("<u8")
+                value = (mine[keep] | top).astype("<u8")
                 first = np.array([smallest[x] for x in set_sig.tolist()], dtype="<i8")
                 head = np.array([len(who), len(s)], dtype="<i4").tobytes()
                 out.append((bucket, r["slice"], head + who.tobytes() + s.tobytes(), first.tobytes() + d[keep].astype("<i4").tobytes(), value.tobytes()))
@@ -211,12 +213,12 @@ def profile(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """doc_id, n_shingles, class_id, and tokens, n_prefix, matches of representatives that may have links; stored."""
     session(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    bits = bucket_bits(docs)
+    buckets = bucket_count(docs, per=BUCKET_BYTES)
     rows = "bucket long, slice long, counts binary, sigs binary, tokens binary"
-    sent = docs.mapInArrow(_send(bits, "doc_id", "text"), rows)
-    counted = dealt(sent, "bucket").mapInArrow(_count(bits), rows)
+    sent = docs.mapInArrow(tidy(_send(buckets, "doc_id", "text")), rows)
+    counted = dealt(sent, "bucket").mapInArrow(tidy(_count(buckets)), rows)
     out = "doc_id long, n_shingles long, class_id long, tokens array<long>, n_prefix int, matches int"
-    return stored(dealt(counted, "slice").mapInArrow(_collect, out), "profiles")
+    return stored(dealt(counted, "slice").mapInArrow(tidy(_collect), out), "profiles")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

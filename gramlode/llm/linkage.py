@@ -15,19 +15,29 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+def roots(forest: DataFrame) -> DataFrame:
+    """(a, to) with `to` the root of a's tree, from parents (a, to) that are unique in a: paths double in each round."""
+    while True:
+        up = forest.select(F.col("a").alias("to"), F.col("to").alias("up"))
+        jumped = stored(forest.join(up, "to", "left").select("a", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")), "forest")
+        forest = jumped.drop("moved")
+        if jumped.where("moved").isEmpty():
+            return forest
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every row of `edges` (a, b): component is the smallest id that links reach.
 
-    In each round every node hooks to its smallest smaller neighbour and the edges are rewritten to
-    the nodes hooked to, so a node hooks once and the hooks form a forest, whose roots are then found by
-    doubling. Ids without an edge are not returned.
+    In each round every node hooks to its smallest smaller neighbour, and the edges are rewritten to the roots
+    of the trees that this makes. A node that has hooked is on no later edge, so it hooks once. Ids without
+    an edge are not returned.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
     left = stored(pairs.distinct(), "edges")
     hooks: DataFrame | None = None
     while not left.isEmpty():
-        found = stored(left.groupBy("a").agg(F.min("b").alias("to")), "hooks")
+        found = roots(left.groupBy("a").agg(F.min("b").alias("to")))
         hooks = found if hooks is None else hooks.unionByName(found)
         other = found.select(F.col("a").alias("b"), F.col("to").alias("b_to"))
         moved = left.join(found, "a").join(other, "b", "left").select(F.col("to").alias("x"), F.coalesce("b_to", "b").alias("y"))
@@ -35,15 +45,9 @@ def components(edges: DataFrame) -> DataFrame:
     if hooks is None:
         kind = edges.schema["a"].dataType.simpleString()
         return spark.createDataFrame([], f"id {kind}, component {kind}")
-    forest = hooks
-    while True:
-        up = forest.select(F.col("a").alias("to"), F.col("to").alias("up"))
-        jumped = stored(forest.join(up, "to", "left").select("a", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")), "forest")
-        forest = jumped.drop("moved")
-        if jumped.where("moved").isEmpty():
-            break
-    roots = forest.select(F.col("to").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return forest.select(F.col("a").alias("id"), F.col("to").alias("component")).unionByName(roots)
+    forest = roots(hooks)
+    tops = forest.select(F.col("to").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    return forest.select(F.col("a").alias("id"), F.col("to").alias("component")).unionByName(tops)
 
 
 def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], admit, extra: list[str], apart=None, detail: DataFrame | None = None, once=None) -> DataFrame:
@@ -60,13 +64,19 @@ def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame],
     once(x, y): a condition that holds for at most one common key of two members, and for one if they are linked.
     """
     whole = F.struct(*extra, "id")
-    buckets = keys.groupBy("key").agg(F.min(whole).alias("lead"), F.count("*").alias("_members")).where("_members > 1")
+    # one shuffle by key: the leaders and the members meet in it
+    dealt = keys.withColumn("own", whole).select("key", "own").repartition("key")
+    buckets = dealt.groupBy("key").agg(F.min("own").alias("lead"), F.count("*").alias("_members")).where("_members > 1")
     fits = (F.col("lead.id") != F.col("own.id")) & admit("lead", "own")
-    keys = stored(keys.withColumn("own", whole).join(buckets, "key").withColumn("_fits", fits), "keys")
+    keys = stored(dealt.join(buckets, "key").withColumn("_fits", fits), "keys").select("*", "own.*")
     # round 1: one leader for each member
     first = stored(keys.where("_fits").groupBy("id").agg(F.min("lead").alias("lead")).select(F.col("lead.id").alias("a"), F.col("id").alias("b")), "leaders")
-    # whoever may be compared: members that fit their leader, the leaders, and members of buckets with more than one pair
-    many = keys.where("_members > 2 or _fits").select(F.explode(F.array("id", "lead.id")).alias("id"))
+    # whoever may be compared: members with a leader that fits, the leaders, and members of larger buckets with any that fits
+    pair = keys.where("_fits").select(F.explode(F.array("id", "lead.id")).alias("id"))
+    larger = keys.where("_members > 2").select("key", "own")
+    x, y = larger.alias("x"), larger.alias("y")
+    some = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.own.id") != F.col("y.own.id")) & admit("x.own", "y.own"), "left_semi")
+    many = pair.unionByName(some.select(F.col("x.own.id").alias("id")))
     verify = verifier(many.distinct())
     judged = stored(verify(first), "leader-pairs")
     found = stored(components(judged.where("linked").select("a", "b")), "components")
