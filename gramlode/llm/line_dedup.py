@@ -1,18 +1,20 @@
 """Fuzzy removal of repeated lines, in DataFrame expressions only.
 
-Lines are normalised to lower-case words (letters A-Z folded, ASCII punctuation as separators). Equal
-normalised lines are one class. Classes of LEAST_WORDS words or more get a 60-bit SimHash of their words; two
-SimHashes that differ in at most BITS_APART bits agree in two of five blocks of 12 bits, so the ten pairs of
-blocks are the join keys. Pairs within BITS_APART bits are verified by edit similarity of the normalised
-lines: at most MAX_EDITS edits and a tenth of the longer line. Of each connected group the first line
-by doc_id and line number stays; all its other occurrences go.
-
-SimHash sums are kept as three counters of 20 bits in a long, twenty longs a line, which the map side adds
-up before the shuffle. Texts are shuffled once, to fetch the candidate lines.
-
-Defined results: null and empty texts have one line without words; lines without words always stay; a line of
-2^20 words or more is compared with equal lines only. Rows with equal id and text are one document and lose the
-same lines, so both keep their first occurrence; further columns pass through `dedup`.
+Lines are normalised to lower-case words (ASCII punctuation as separators). Equal normalised lines are one
+class. Classes of LEAST_WORDS words or more get a 63-bit SimHash of their words; two SimHashes that differ in
+at most BITS_APART bits agree in two of four blocks, so the six pairs of blocks are the join keys. (Lines
+in which a few words make up most are compared with equal lines only: their SimHash is that of those words, which
+shows when fewer than LEAST_BALANCED of its sums are near zero.) Pairs within BITS_APART bits are verified by edit similarity of the normalised lines: at most MAX_EDITS
+edits and a tenth of the longer line. Of each connected group the first line by doc_id and line number
+stays; all its other occurrences go.
+
+SimHash sums are kept as seven counters of 9 bits in a long, nine longs for up to CHUNK words, which the map
+side adds up before the shuffle; lines with more words have several such rows, added up by bit. Texts are
+shuffled once, to fetch the candidate lines.
+
+Defined results: null and empty texts have one line without words; lines without words always stay. Rows with
+equal id and text are one document and lose the same lines, so both keep their first occurrence; further
+columns pass through `dedup`.
 """
 
 from __future__ import annotations
@@ -25,12 +27,15 @@ from pyspark.sql import functions as F
 from . import linkage
 from .common import let, lookup, session, stored
 
-BITS_APART = 3
-BLOCKS, BLOCK_BITS = 5, 12
+BITS_APART = 2
+#: Sizes of the blocks of a SimHash, and where they begin.
+BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 15))
 LEAST_WORDS = 8
-MAX_EDITS = 200
-_LANES = 20
-_MASK = 1 | 1 << _LANES | 1 << 2 * _LANES
+LEAST_BALANCED = 32
+MAX_EDITS = 64
+#: 63 bits as 9 longs of 7 counters; a counter of 9 bits takes up to CHUNK words, a quarter more for comparisons.
+_LANES, _WIDTH, CHUNK = 7, 9, 200
+_ONES = sum(1 << _WIDTH * k for k in range(_LANES))
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -49,35 +54,52 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, pos, h, n, sim) of every line with words."""
+    """(doc_id, row, pos, h, n, sim, balanced) of every line with words.
+
+    n: words; balanced: sums of the SimHash that are at most a quarter of n from zero.
+    """
     whole = lines(docs, key, text).select("doc_id", "row", "pos", "words", F.xxhash64("words").alias("h"))  # once a line, so below the explode
-    hashed = whole.select("doc_id", "row", "pos", "h", F.explode("words").alias("word")).select("doc_id", "row", "pos", "h", F.xxhash64("word").alias("x"))
-    sums = [F.sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(_MASK))).alias(f"s{j}") for j in range(_LANES)]
-    found = hashed.groupBy("doc_id", "row", "pos", "h").agg(F.count("*").alias("n"), *sums)
-    bits = [
-        F.shiftleft((F.shiftrightunsigned(f"s{j}", _LANES * k).bitwiseAND(F.lit((1 << _LANES) - 1)) * 2 > F.col("n")).cast("long"), j + _LANES * k)
-        for j in range(_LANES)
-        for k in range(3)
-    ]
-    sim = bits[0]
-    for b in bits[1:]:
-        sim = sim.bitwiseOR(b)
-    return found.select("doc_id", "row", "pos", "h", "n", sim.alias("sim"))
+    words = whole.select("doc_id", "row", "pos", "h", F.posexplode("words").alias("at", "word"))
+    hashed = words.select("doc_id", "row", "pos", "h", F.expr(f"cast(at div {CHUNK} as int)").alias("chunk"), F.xxhash64("word").alias("x"))
+    line = ["doc_id", "row", "pos", "h"]
+    sums = [F.sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(_ONES))).alias(f"s{j}") for j in range(_WIDTH)]
+    chunks = stored(hashed.groupBy(*line, "chunk").agg(F.count("*").alias("n"), *sums), "chunks")
+
+    def bits(above: Column) -> Column:
+        """A bit for each counter c with 2 c > above: the top bit of 2 c + 2^8 - 1 - above, for all counters at once."""
+        level = (F.lit((1 << _WIDTH - 1) - 1) - above) * F.lit(_ONES)
+        found = [F.shiftleft(F.shiftrightunsigned(F.col(f"s{j}") * 2 + level, _WIDTH - 1).bitwiseAND(F.lit(_ONES)), j) for j in range(_WIDTH)]
+        out = found[0]
+        for b in found[1:]:
+            out = out.bitwiseOR(b)
+        return out
+
+    n, quarter = F.col("n"), F.expr("n div 4")
+    last = (F.col("chunk") == 0) & (n < CHUNK)
+    balanced = (F.bit_count(bits(n - quarter - 1)) - F.bit_count(bits(n + quarter))).cast("long")
+    short = chunks.where(last).select(*line, "n", bits(n).alias("sim"), balanced.alias("balanced"))
+    by_bit = chunks.where(~last).select(*line, "n", F.posexplode(F.array(*(f"s{j}" for j in range(_WIDTH)))).alias("j", "s")).select(*line, "n", "j", F.posexplode(F.array(*(F.shiftright("s", _WIDTH * k).bitwiseAND(F.lit((1 << _WIDTH) - 1)) for k in range(_LANES)))).alias("k", "c"))
+    summed = by_bit.groupBy(*line, "j", "k").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    bit = F.when(F.col("c") * 2 > n, F.expr(f"shiftleft(1L, j + {_WIDTH} * k)")).otherwise(F.lit(0).cast("long"))
+    near = F.count_if(F.abs(F.col("c") * 2 - n) <= quarter)
+    long = summed.groupBy(*line).agg(F.first("n").alias("n"), F.bit_or(bit).alias("sim"), near.alias("balanced")).select(*line, "n", "sim", "balanced")
+    return short.unionByName(long)
 
 
 def block_keys(sim: Column) -> Column:
     """One key for every pair of blocks."""
-    part = lambda k: F.shiftright(sim, k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-    return F.array(*(part(a) + part(b) * (1 << BLOCK_BITS) + F.lit(n << 2 * BLOCK_BITS) for n, (a, b) in enumerate(combinations(range(BLOCKS), BLOCKS - BITS_APART))))
+    part = lambda at, width: F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << width) - 1))
+    return F.array(*(part(*a) + part(*b) * (1 << 16) + F.lit(n << 32) for n, (a, b) in enumerate(combinations(BLOCKS, len(BLOCKS) - BITS_APART))))
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, removed): line numbers that go, for every row key with any."""
     session(docs.sparkSession)
     found = stored(fingerprints(docs, key, text), "lines")
-    classes = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.count("*").alias("count")), "line-classes")
-    near = classes.where((F.col("n") >= LEAST_WORDS) & (F.col("n") < 1 << _LANES))
-    keys = near.select(F.explode(block_keys(F.col("sim"))).alias("key"), F.col("h").alias("id"), "sim")
+    classes = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("balanced").alias("balanced"), F.count("*").alias("count")), "line-classes")
+    near = classes.where((F.col("n") >= LEAST_WORDS) & (F.col("balanced") >= LEAST_BALANCED))
+    # the most frequent class of a bucket leads: of many variants it is the one that they vary
+    keys = near.select(F.explode(block_keys(F.col("sim"))).alias("key"), F.col("h").alias("id"), (-F.col("count")).alias("rank"), "sim")
 
     def admit(x: str, y: str) -> Column:
         return F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim"))) <= BITS_APART
@@ -86,16 +108,16 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         at = near.join(ids, near["h"] == ids["id"]).groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("at"))
         whole = docs.select(row_key(docs, key, text).alias("row"), F.col(text).alias("_text"))
         picked = whole.join(at, "row").select(let(F.split("_text", "\n"), lambda a: F.transform("at", lambda p: F.struct(p["h"].alias("h"), F.array_join(normal_words(F.get(a, p["pos"])), " ").alias("line")))).alias("got"))
-        texts = stored(picked.select(F.explode("got").alias("g")).select("g.h", "g.line").dropDuplicates(["h"]), "candidate-lines")
+        texts = stored(picked.select(F.explode("got").alias("g")).select("g.h", "g.line"), "candidate-lines")
 
         def verify(pairs: DataFrame) -> DataFrame:
             a, b = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
             edits = F.expr(f"levenshtein(la, lb, cast(least({MAX_EDITS}, greatest(length(la), length(lb)) div 10) as int))")
-            return pairs.join(b, "b").join(a, "a").select("a", "b", (edits >= 0).alias("linked"))
+            return pairs.join(b, "b").join(a, "a").select("a", "b", (edits >= 0).alias("linked")).dropDuplicates(["a", "b"])
 
         return verify
 
-    linked = linkage.link(keys, verifier, admit, ["sim"])
+    linked = linkage.link(keys, verifier, admit, ["rank", "sim"])
     grouped = classes.join(linked.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     grouped = stored(grouped.select("h", "component", "first", "count"), "line-groups")
     keep = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("count").alias("rows")).where("rows > 1").select("component", "keep")
