@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import session
+from .common import session, tidy
 from .words import ALNUM_WORDS, Texts, Windows, slices, window_starts
 
 WINDOW = 13
@@ -135,9 +135,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     out = docs.drop(*(c for c in docs.columns if c in RESULT))
     plain = list(out.schema.fields)
     for block in blocks(benchmark, window, block_words):
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), text), T.StructType(plain + _STATE))
+        out = out.mapInArrow(tidy(_pass(spark.sparkContext.broadcast(block), text)), T.StructType(plain + _STATE))
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), SPAN)
-    return out.mapInArrow(_digest, T.StructType(plain + [T.StructField(n, k) for n, k in zip(RESULT, kinds)]))
+    return out.mapInArrow(tidy(_digest), T.StructType(plain + [T.StructField(n, k) for n, k in zip(RESULT, kinds)]))
 
 
 def _cut(batches):
@@ -160,7 +160,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """Remove contaminated documents, or ("spans") only the covered text of every document."""
     found = judge(docs, benchmark)
     if remove == "spans":
-        found = found.mapInArrow(_cut, found.schema)
+        found = found.mapInArrow(tidy(_cut), found.schema)
     elif remove == "documents":
         found = found.where(~F.col("contaminated"))
     else:

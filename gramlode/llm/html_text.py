@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, session
+from .common import HOT_SHARE, session, tidy
 from .words import slices
 
 GROUP_PAGES = 200
@@ -230,4 +230,4 @@ def extract(pages: DataFrame) -> DataFrame:
     hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") >= F.greatest(F.lit(4 * GROUP_PAGES), F.col("_total") / HOT_SHARE)).select("_host", F.ceil(F.col("_n") / (2 * GROUP_PAGES)).alias("_salts"))
     rows = rows.join(F.broadcast(hot), "_host", "left").withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.coalesce("_salts", F.lit(1)))).drop("_salts")
     dealt = rows.repartition("_host", "_salt").sortWithinPartitions("_host", "_salt", "page_id", "url")
-    return dealt.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return dealt.mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")

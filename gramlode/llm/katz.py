@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, stored
+from .common import session, stored, tidy
 from .exchange import bucket_bits, dealt, grouped, pack48, unpack48
 from .words import SPACE_WORDS, Texts, mix, slices
 
@@ -343,14 +343,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spark = session(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bits = bucket_bits(docs, per=SHARD_BYTES)
-    sent = dealt(docs.mapInArrow(_send(bits, "doc_id"), _DDL), "bucket").mapInArrow(_count(bits), _DDL)
-    states = stored(dealt(sent, "slice", "bucket").mapInArrow(_states, _STATE_DDL), "states")
+    sent = dealt(docs.mapInArrow(tidy(_send(bits, "doc_id")), _DDL), "bucket").mapInArrow(tidy(_count(bits)), _DDL)
+    states = stored(dealt(sent, "slice", "bucket").mapInArrow(tidy(_states), _STATE_DDL), "states")
     sums = states.where("slice < 0").agg(*(F.sum(F.get("stats", F.lit(k))) for k in range(CUTOFF + 3))).first()
     documents = states.where("slice >= 0").agg(F.sum(F.get("stats", F.lit(1)))).first()[0] or 0
     n, v, *counts = (x or 0 for x in sums)
     const = Constants(n, v, counts, documents)
-    asked = states.where("slice >= 0").mapInArrow(_ask(bits, const), _DDL)
-    scored = stored(dealt(asked, "bucket").mapInArrow(_score(const), _DDL), "partial-scores")
+    asked = states.where("slice >= 0").mapInArrow(tidy(_ask(bits, const)), _DDL)
+    scored = stored(dealt(asked, "bucket").mapInArrow(tidy(_score(const)), _DDL), "partial-scores")
     # at most 1 / HOT_SHARE hot contexts, in one small row per shard
     parts: dict[int, list[float]] = {}
     for r in scored.where("bucket = -2").select("a", "b", "c").toLocalIterator():
@@ -364,4 +364,4 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         denominator, alpha = weight(np.array([mass]), np.array([lower]), np.array([float(total)]))
         hot[x] = (float(np.log10(max(total, 1)) - np.log10(max(denominator[0], 1))), float(alpha[0]))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt(scored.where("bucket > -2"), "slice").mapInArrow(_sum(const, hot), out)
+    return dealt(scored.where("bucket > -2"), "slice").mapInArrow(tidy(_sum(const, hot)), out)

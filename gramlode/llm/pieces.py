@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import session
+from .common import session, tidy
 from .words import slices
 
 MARK = "▁"
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", ids: s
             yield _add(batch, {ids: _ids_array(known.encode(batch.column(text).to_pylist(), kept))})
 
     fields = [f for f in docs.schema.fields if f.name != ids]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -317,7 +317,7 @@ def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids", text:
                 yield _add(part, {text: pa.array([known.decode(x or []) for x in part.column(ids).to_pylist()], pa.string())})
 
     fields = [f for f in encoded.schema.fields if f.name != text]
-    return encoded.mapInArrow(run, T.StructType([*fields, T.StructField(text, T.StringType())]))
+    return encoded.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(text, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, model: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,4 +338,4 @@ def round_trip(docs: DataFrame, model: str | None = None, key: str = "doc_id", t
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_pieces long, ids array<int>, n_chars_decoded long, round_trip boolean")
+    return docs.select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, n_pieces long, ids array<int>, n_chars_decoded long, round_trip boolean")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import session
+from .common import session, tidy
 from .words import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -199,7 +199,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """Per row: counts of base spans by kind, the SHA-256 of the base spans, and all spans (code points, end exclusive)."""
     session(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(_scan(key, text), f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(key, text).mapInArrow(tidy(_scan(key, text)), f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: str) -> str:

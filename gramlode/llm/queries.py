@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, html_text, jaccard, katz, line_dedup, pieces, pii, quality, substring_dedup, warc
@@ -68,4 +70,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
+if find_spec("corpus_pipeline"):
+    QUERIES["pipeline"] = pipeline
+
 ORACLE_SQL: dict[str, str] = {}

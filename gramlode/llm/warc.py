@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, session, stored
+from .common import lookup, session, stored, tidy
 from .words import slices
 
 # The fields of a record's header line in the two versions of the ARC format.
@@ -220,13 +220,13 @@ def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     found = revisits(pages, least_bytes).select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "refers_to")
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit(""))).alias("sha"))
     rows = rows.join(found, rows["page_id"].eqNullSafe(found["_page"]) & (rows["sha"] == found["_sha"]), "left")
-    parts = rows.select("page_id", "url", "html", "refers_to").mapInArrow(_archive, "archive string, part long, n_records long, data binary")
+    parts = rows.select("page_id", "url", "html", "refers_to").mapInArrow(tidy(_archive), "archive string, part long, n_records long, data binary")
     return stored(parts, "archives")
 
 
 def read_back(parts: DataFrame) -> DataFrame:
     """One row per record of the parts; block digests and response payload digests are verified."""
-    return parts.select("data").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, target_uri string")
+    return parts.select("data").mapInArrow(tidy(_read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, target_uri string")
 
 
 def _convert_files(batches):
@@ -240,7 +240,7 @@ def _convert_files(batches):
 def arc_files(spark: SparkSession, path: str) -> DataFrame:
     """Parts converted from ARC files (versions 1 and 2, plain or gzipped), a file to a task's row."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_convert_files, "archive string, part long, n_records long, data binary")
+    return files.mapInArrow(tidy(_convert_files), "archive string, part long, n_records long, data binary")
 
 
 def export(parts: DataFrame, folder: str) -> None:
