@@ -55,12 +55,15 @@ def _members(data: bytes):
 
 
 def files(spark: SparkSession, paths: DataFrame, root: str, gzip: bool = False) -> DataFrame:
-    """The listed files below `root`. `paths` is (fid, path), with paths relative to it or whole."""
+    """The listed files below `root`. `paths` is (fid, path), with paths relative to it or whole.
+
+    A listed file that is empty or not there keeps its id and has no content (Spark's reader skips both alike).
+    """
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select(F.col("path").alias("_uri"), "content")
     bare = lambda c: F.regexp_replace(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")
     whole = F.when(F.col("path").startswith("/") | F.col("path").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:/"), F.col("path")).otherwise(F.concat(F.lit(f"{base}/"), F.col("path")))
-    out = paths.withColumn("_uri", bare(whole)).join(found.withColumn("_uri", bare("_uri")), "_uri").select("fid", "path", "content")
+    out = paths.withColumn("_uri", bare(whole)).join(found.withColumn("_uri", bare("_uri")), "_uri", "left").select("fid", "path", F.coalesce("content", F.lit(b"")).alias("content"))
     return reachable(spark) and out.mapInArrow(_gunzip, SCHEMA) if gzip else out
 
 
