@@ -16,7 +16,8 @@ BATCH_BYTES = 4 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches by bytes, whatever the length of the texts."""
+    """Bound the Arrow batches by bytes, whatever the length of the texts, and let shuffle files go with their query."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return reachable(spark)
 

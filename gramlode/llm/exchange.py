@@ -62,3 +62,25 @@ def unpack48(data: bytes) -> np.ndarray:
     raw = np.zeros((len(data) // 6, 8), dtype=np.uint8)
     raw[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
     return raw.view("<u8").ravel()
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """An array as its compressed byte planes: small and slowly changing numbers take few bytes."""
+    import zstandard
+
+    values = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()) if len(values) else b""
+
+
+def unsqueeze(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    if not data:
+        return np.zeros(0, dtype=kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending 64-bit values, which compress better; np.cumsum undoes it."""
+    return np.diff(ascending, prepend=np.zeros(1, dtype=ascending.dtype))

@@ -65,7 +65,7 @@ _ROW = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("counts", pa.b
 
 
 def _send(buckets: int, key: str, text: str):
-    """Rows (bucket, slice, ...): shingles and set signatures of a slice by bucket; bucket -1 keeps the slice's ids."""
+    """Rows (bucket, slice, ...): shingles and set signatures of a slice by bucket; a negative bucket keeps the slice's ids."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -79,7 +79,7 @@ def _send(buckets: int, key: str, text: str):
             sigs, sizes = signatures(docs, values, len(ids)), np.bincount(docs, minlength=len(ids))
             sigs[nulls] = 0
             meta = np.stack([ids.astype("<i8"), sigs.view("<i8"), sizes.astype("<i8"), nulls.astype("<i8")])
-            rows = [(-1, base + k, b"", b"", meta.tobytes())]
+            rows = [(-1 - base - k, base + k, b"", b"", meta.tobytes())]
             # equal sets of the slice travel once, as the row of the smallest id
             order = np.lexsort((ids, sigs))
             once = order[(sigs[order] != 0) & np.concatenate([[True], sigs[order][1:] != sigs[order][:-1]])[: len(order)]]

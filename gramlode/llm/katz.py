@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session, stored, tidy
-from .exchange import bucket_bits, dealt, grouped, pack48, unpack48
+from .exchange import bucket_bits, dealt, grouped, squeeze, steps, unsqueeze
 from .words import SPACE_WORDS, Texts, mix, slices
 
 CUTOFF = 5
@@ -94,23 +94,26 @@ def _send(bits: int, key: str):
             pairs, times = np.unique(bigram(contexts_of(tokens, first), tokens)[train], return_counts=True)
             ids = batch.column(key)
             meta = np.stack([first[1:].astype("<i8"), held.astype("<i8"), ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False).astype("<i8")])
-            local = np.ascontiguousarray(at, dtype="<u4").view(np.uint8).reshape(-1, 4)[:, : 3 if len(words) < 1 << 24 else 4]
-            rows = [(-1, base + k, local.tobytes(), words.astype("<u8").tobytes(), meta.tobytes(), [len(words), int((~held).sum())])]
+            own = squeeze(at.astype("<u4"))
+            rows = [(-1 - base - k, base + k, own, squeeze(steps(words).astype("<u8")), squeeze(meta.ravel()), [len(words), int((~held).sum())])]
             # both lists are sorted, so buckets of their top bits are ranges of them
             cut = [np.searchsorted(x >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) for x in (words, pairs)]
             for b in range(1 << bits):
                 i, j, p, q = cut[0][b], cut[0][b + 1], cut[1][b], cut[1][b + 1]
                 if i < j or p < q:
-                    small = np.minimum(times[p:q], 255).astype(np.uint8)
-                    rows.append((b, base + k, pack48(words[i:j]) + counts[i:j].tobytes(), pack48(pairs[p:q]) + small.tobytes(), times[p:q][small == 255].astype("<u4").tobytes(), [int(j - i)]))
+                    word = squeeze(steps(words[i:j]).astype("<u8"))
+                    head = np.array([len(word)], "<i4").tobytes()
+                    # bigrams by 48 bits below those of the bucket
+                    rows.append((b, base + k, head + word + squeeze(counts[i:j]), squeeze(steps(pairs[p:q] >> np.uint64(16 - min(bits, 16))).astype("<u8")), squeeze(times[p:q].astype("<u4")), []))
             yield _batch(rows)
 
     return run
 
 
-def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by distinct key, and the place of each entry's key among them."""
     found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64), at
+    return np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64), at
 
 
 def _count(bits: int):
@@ -122,22 +125,16 @@ def _count(bits: int):
                 for r in rows:
                     yield _batch([tuple(r.values())])
                 continue
-            sizes = [r["stats"][0] for r in rows]
-            keys = np.concatenate([unpack48(r["a"][: 6 * n]) for r, n in zip(rows, sizes)])
-            counts = np.concatenate([np.frombuffer(r["a"], "<u4", n, 6 * n) for r, n in zip(rows, sizes)])
-            found, total, at = _totals(keys, counts)
-            pairs, times = [], []
-            for r in rows:
-                m = len(r["b"]) // 7
-                pairs.append(unpack48(r["b"][: 6 * m]))
-                t = np.frombuffer(r["b"], np.uint8, m, 6 * m).astype(np.int64)
-                t[t == 255] = np.frombuffer(r["c"], "<u4")
-                times.append(t)
-            seen = _totals(np.concatenate(pairs), np.concatenate(times))[1]
+            heads = [np.frombuffer(r["a"], "<i4", 1)[0] for r in rows]
+            parts = [np.cumsum(unsqueeze(r["a"][4 : 4 + m], "<u8"), dtype=np.uint64) for r, m in zip(rows, heads)]
+            sizes = [len(x) for x in parts]
+            total, at = _totals(np.concatenate(parts), np.concatenate([unsqueeze(r["a"][4 + m :], "<u4") for r, m in zip(rows, heads)]))
+            pairs = np.concatenate([np.cumsum(unsqueeze(r["b"], "<u8"), dtype=np.uint64) for r in rows])
+            seen = _totals(pairs, np.concatenate([unsqueeze(r["c"], "<u4") for r in rows]))[0]
             stats = [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(seen, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()]
             mine, k, out = total[at].astype("<u4"), 0, [(bucket, -1, b"", b"", b"", stats)]
             for r, n in zip(rows, sizes):
-                out.append((bucket, r["slice"], mine[k : k + n].tobytes(), b"", b"", []))
+                out.append((bucket, r["slice"], squeeze(mine[k : k + n]), b"", b"", []))
                 k += n
             yield _batch(out)
 
@@ -155,8 +152,8 @@ def _states(batches):
             yield _batch([(s, b"", b"", b"", b"", r["stats"]) for r in rows], _STATE)
             continue
         own = next(r for r in rows if r["bucket"] < 0)
-        counts = b"".join(r["a"] for r in sorted(rows, key=lambda r: r["bucket"]) if r["bucket"] >= 0)
-        yield _batch([(s, own["a"], own["b"], own["c"], counts, own["stats"])], _STATE)
+        counts = np.concatenate([np.zeros(0, "<u4"), *(unsqueeze(r["a"], "<u4") for r in sorted(rows, key=lambda r: r["bucket"]) if r["bucket"] >= 0)])
+        yield _batch([(s, own["a"], own["b"], own["c"], squeeze(counts), own["stats"])], _STATE)
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -183,13 +180,9 @@ class Constants:
 
 
 def unpack_state(r: dict):
-    tokens = np.frombuffer(r["tokens"], np.uint8)
-    words = np.frombuffer(r["words"], "<u8")
-    wide = 3 if len(words) < 1 << 24 else 4
-    at = np.zeros((len(tokens) // wide, 4), dtype=np.uint8)
-    at[:, :wide] = tokens.reshape(-1, wide)
-    ends, held, ids, nulls = np.frombuffer(r["meta"], "<i8").reshape(4, -1)
-    return at.view("<u4").ravel(), words, np.frombuffer(r["counts"], "<u4"), np.concatenate([[0], ends]), held.astype(bool), ids, nulls.astype(bool)
+    ends, held, ids, nulls = unsqueeze(r["meta"], "<i8").reshape(4, -1)
+    words = np.cumsum(unsqueeze(r["words"], "<u8"), dtype=np.uint64)
+    return unsqueeze(r["tokens"], "<u4"), words, unsqueeze(r["counts"], "<u4"), np.concatenate([[0], ends]), held.astype(bool), ids, nulls.astype(bool)
 
 
 def _ask(bits: int, const: Constants):
@@ -207,7 +200,7 @@ def _ask(bits: int, const: Constants):
                 known = counts[at] > 0
                 base = np.bincount(doc, weights=np.log10(counts[at] + 0.5), minlength=len(ids)) - np.diff(first) * np.log10(const.total)
                 meta = np.stack([ids, nulls, held, np.diff(first), np.bincount(doc, weights=known, minlength=len(ids)).astype("<i8")]).astype("<i8")
-                rows = [(-1, r["slice"], meta.tobytes(), base.astype("<f8").tobytes(), b"", [])]
+                rows = [(-2 - r["slice"], r["slice"], meta.tobytes(), base.astype("<f8").tobytes(), b"", [])]
                 context = np.append(words, START)
                 c_context = np.append(counts, np.uint32(min(const.documents, 2**32 - 1)))
                 hot = np.append(counts >= least, True)
@@ -215,7 +208,6 @@ def _ask(bits: int, const: Constants):
                 shard = np.where(hot[before], bigram(h, w), h) >> np.uint64(64 - bits)
                 order = np.lexsort((doc, before, hot[before], shard))
                 edges = np.searchsorted(shard[order], np.arange((1 << bits) + 1, dtype=np.uint64))
-                wide = "<u2" if len(ids) <= 1 << 16 else "<u4"
                 for b in range(1 << bits):
                     mine = order[edges[b] : edges[b + 1]]
                     if not len(mine):
@@ -223,28 +215,31 @@ def _ask(bits: int, const: Constants):
                     hs, n_h = np.unique(before[mine] + np.where(hot[before[mine]], 1 << 40, 0), return_counts=True)
                     own = hs & ((1 << 40) - 1)
                     ws, at_w = np.unique(at[mine], return_inverse=True)
-                    head = np.array([len(own), int((hs >> 40).sum()), len(ws), len(mine), len(ids)], "<i4").tobytes()
-                    part_h = pack48(context[own]) + c_context[own].astype("<u4").tobytes() + n_h.astype("<u4").tobytes()
-                    part_w = pack48(words[ws]) + counts[ws].astype("<u4").tobytes() + np.packbits(held).tobytes()
-                    entries = at_w.astype("<u2" if len(ws) <= 1 << 16 else "<u4").tobytes() + doc[mine].astype(wide).tobytes()
-                    rows.append((b, r["slice"], head + part_h, part_w, entries, []))
+                    h_part = [squeeze(context[own]), squeeze(np.where(hs >> 40, c_context[own], 0).astype("<u4")), squeeze(n_h.astype("<u4"))]
+                    w_part = [squeeze(steps(words[ws])), squeeze(counts[ws]), squeeze(np.packbits(held))]
+                    # documents ascend within a context, so their steps are small
+                    step = np.diff(doc[mine], prepend=0).astype("<i4")
+                    parts = [*h_part, *w_part, squeeze(at_w.astype("<u4")), squeeze(step)]
+                    head = np.array([int((hs >> 40).sum()), len(ids), *map(len, parts)], "<i4").tobytes()
+                    rows.append((b, r["slice"], head + b"".join(parts), b"", b"", []))
                 yield _batch(rows)
 
     return run
 
 
 def _entries(r: dict):
-    n_h, n_hot, n_w, n, docs = np.frombuffer(r["a"], "<i4", 5).tolist()
-    h = unpack48(r["a"][20 : 20 + 6 * n_h])
-    c_h, times = np.frombuffer(r["a"], "<u4", 2 * n_h, 20 + 6 * n_h).reshape(2, n_h)
-    w, c_w = unpack48(r["b"][: 6 * n_w]), np.frombuffer(r["b"], "<u4", n_w, 6 * n_w)
-    held = np.unpackbits(np.frombuffer(r["b"], np.uint8, offset=10 * n_w))[:docs].astype(bool)
-    kind, wide = "<u2" if n_w <= 1 << 16 else "<u4", "<u2" if docs <= 1 << 16 else "<u4"
-    at = np.frombuffer(r["c"], kind, n)
-    doc = np.frombuffer(r["c"], wide, n, n * np.dtype(kind).itemsize).astype(np.int64)
-    hot = np.arange(n_h) >= n_h - n_hot
-    of = np.repeat(np.arange(n_h), times)
-    return h[of], hot[of], c_h[of], w[at], c_w[at], doc, ~held[doc]
+    n_hot, docs, *sizes = np.frombuffer(r["a"], "<i4", 10).tolist()
+    at, parts = 40, []
+    for n in sizes:
+        parts.append(r["a"][at : at + n])
+        at += n
+    h, c_h, times = unsqueeze(parts[0], "<u8"), unsqueeze(parts[1], "<u4"), unsqueeze(parts[2], "<u4")
+    w, c_w = np.cumsum(unsqueeze(parts[3], "<u8"), dtype=np.uint64), unsqueeze(parts[4], "<u4")
+    held = np.unpackbits(unsqueeze(parts[5], "u1"))[:docs].astype(bool)
+    of_w, doc = unsqueeze(parts[6], "<u4"), np.cumsum(unsqueeze(parts[7], "<i4"), dtype=np.int64)
+    hot = np.arange(len(h)) >= len(h) - n_hot
+    of = np.repeat(np.arange(len(h)), times)
+    return h[of], hot[of], c_h[of], w[of_w], c_w[of_w], doc, ~held[doc]
 
 
 def shard_model(pair_h, pair_hot, pair_c, w_count, train_count, const: Constants):
@@ -279,6 +274,7 @@ def _score(const: Constants):
             parts = [_entries(r) for r in rows]
             h, hot, c_h, w, c_w, doc, train = (np.concatenate(x) for x in zip(*parts))
             sizes = [len(p[0]) for p in parts]
+            doc = doc.astype(np.int32)
             del parts
             order = np.lexsort((w, h, hot))
             fresh = np.ones(len(order), dtype=bool)
@@ -296,14 +292,17 @@ def _score(const: Constants):
             with np.errstate(divide="ignore"):
                 value = np.where(seen, np.log10(discounted) - np.log10(np.maximum(denominator, 1))[of], alpha[of] + np.log10(const.p(c_w[lead])))
             name = h[lead][first]
-            out = [(-2, -1, name[is_hot].astype("<u8").tobytes(), np.stack([mass[is_hot], lower[is_hot]]).astype("<f8").tobytes(), total[is_hot].astype("<i8").tobytes(), [])]
+            # a part of a hot context that has a discount settles the denominator: it is the count itself
+            settled = mass < np.bincount(of, weights=r_pair) * (1 - 1e-12)
+            later = is_hot[of] & ~(seen & settled[of])
+            out = [(-1, -1, name[is_hot].astype("<u8").tobytes(), np.stack([mass[is_hot], lower[is_hot]]).astype("<f8").tobytes(), total[is_hot].astype("<i8").tobytes(), [])]
             k = 0
             for r, n in zip(rows, sizes):
                 mine = pair[k : k + n]
                 docs, at = np.unique(doc[k : k + n], return_inverse=True)
                 sums = np.bincount(at, weights=value[mine])
-                # by document and hot context: how often the pair was seen, and unseen
-                hot_at = np.flatnonzero(is_hot[of[mine]])
+                # by document and hot context: how often the pair was unseen, or seen with an open denominator
+                hot_at = np.flatnonzero(later[mine])
                 key, times = np.unique(np.stack([at[hot_at], of[mine[hot_at]], seen[mine[hot_at]]]), axis=1, return_counts=True) if len(hot_at) else (np.zeros((3, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
                 hot_part = docs[key[0]].astype("<i4").tobytes() + name[key[1]].astype("<u8").tobytes() + key[2].astype("<i4").tobytes() + times.astype("<i4").tobytes()
                 out.append((bucket, r["slice"], docs.astype("<i4").tobytes(), sums.astype("<f8").tobytes(), hot_part, []))
@@ -321,7 +320,7 @@ def _sum(const: Constants, hot: dict[int, tuple[float, float]]):
 
     def run(batches):
         for _, rows in grouped(batches, "slice"):
-            own = next(r for r in rows if r["bucket"] == -1)
+            own = next(r for r in rows if r["bucket"] < 0)
             ids, nulls, held, n, known = np.frombuffer(own["a"], "<i8").reshape(5, -1)
             score = np.zeros(len(ids))
             for r in sorted(rows, key=lambda r: r["bucket"]):
@@ -338,13 +337,17 @@ def _sum(const: Constants, hot: dict[int, tuple[float, float]]):
     return run
 
 
+def _stored_states(docs: DataFrame, bits: int) -> DataFrame:
+    counted = dealt(docs.mapInArrow(tidy(_send(bits, "doc_id")), _DDL), "bucket").mapInArrow(tidy(_count(bits)), _DDL)
+    return stored(dealt(counted, "slice", "bucket").mapInArrow(tidy(_states), _STATE_DDL), "states")
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10."""
     spark = session(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bits = bucket_bits(docs, per=SHARD_BYTES)
-    sent = dealt(docs.mapInArrow(tidy(_send(bits, "doc_id")), _DDL), "bucket").mapInArrow(tidy(_count(bits)), _DDL)
-    states = stored(dealt(sent, "slice", "bucket").mapInArrow(tidy(_states), _STATE_DDL), "states")
+    states = _stored_states(docs, bits)
     sums = states.where("slice < 0").agg(*(F.sum(F.get("stats", F.lit(k))) for k in range(CUTOFF + 3))).first()
     documents = states.where("slice >= 0").agg(F.sum(F.get("stats", F.lit(1)))).first()[0] or 0
     n, v, *counts = (x or 0 for x in sums)
@@ -353,7 +356,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     scored = stored(dealt(asked, "bucket").mapInArrow(tidy(_score(const)), _DDL), "partial-scores")
     # at most 1 / HOT_SHARE hot contexts, in one small row per shard
     parts: dict[int, list[float]] = {}
-    for r in scored.where("bucket = -2").select("a", "b", "c").toLocalIterator():
+    for r in scored.where("slice < 0").select("a", "b", "c").toLocalIterator():
         mass, lower = np.frombuffer(r["b"], "<f8").reshape(2, -1)
         for x, m, low, t in zip(np.frombuffer(r["a"], "<u8").tolist(), mass.tolist(), lower.tolist(), np.frombuffer(r["c"], "<i8").tolist()):
             old = parts.setdefault(x, [0.0, 0.0, t])
@@ -364,4 +367,4 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         denominator, alpha = weight(np.array([mass]), np.array([lower]), np.array([float(total)]))
         hot[x] = (float(np.log10(max(total, 1)) - np.log10(max(denominator[0], 1))), float(alpha[0]))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt(scored.where("bucket > -2"), "slice").mapInArrow(tidy(_sum(const, hot)), out)
+    return dealt(scored.where("slice >= 0"), "slice").mapInArrow(tidy(_sum(const, hot)), out)

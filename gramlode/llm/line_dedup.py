@@ -4,8 +4,9 @@ Lines are normalised to lower-case words (ASCII punctuation as separators). Equa
 class. Classes of LEAST_WORDS words or more get a 63-bit SimHash of their words; two SimHashes that differ in
 at most BITS_APART bits agree in two of four blocks, so the six pairs of blocks are the join keys. (Lines
 in which a few words make up most are compared with equal lines only: their SimHash is that of those words, which
-shows when fewer than LEAST_BALANCED of its sums are near zero.) Pairs within BITS_APART bits are verified by edit similarity of the normalised lines: at most MAX_EDITS
-edits and a tenth of the longer line. Of each connected group the first line by doc_id and line number
+shows when fewer than LEAST_BALANCED of its sums are near zero.) Pairs within BITS_APART bits are verified by edit
+similarity: the edit distance of their words is at most a tenth of the longer line's words. Words stand for it as
+characters, by a hash of CODES values. Of each connected group the first line by doc_id and line number
 stays; all its other occurrences go.
 
 SimHash sums are kept as seven counters of 9 bits in a long, nine longs for up to CHUNK words, which the map
@@ -32,7 +33,8 @@ BITS_APART = 2
 BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 15))
 LEAST_WORDS = 8
 LEAST_BALANCED = 32
-MAX_EDITS = 64
+#: Characters that words become for the edit distance: from U+4E00 on.
+CODES, FIRST_CODE = 20_992, 0x4E00
 #: 63 bits as 9 longs of 7 counters; a counter of 9 bits takes up to CHUNK words, a quarter more for comparisons.
 _LANES, _WIDTH, CHUNK = 7, 9, 200
 _ONES = sum(1 << _WIDTH * k for k in range(_LANES))
@@ -43,6 +45,12 @@ def normal_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), SEPARATORS), "")
 
 
+def coded(words: Column) -> Column:
+    """A string with a character for each word."""
+    codes = F.transform(words, lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(CODES)) + FIRST_CODE))
+    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+
+
 def row_key(docs: DataFrame, key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
 
@@ -63,7 +71,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     hashed = words.select("doc_id", "row", "pos", "h", F.expr(f"cast(at div {CHUNK} as int)").alias("chunk"), F.xxhash64("word").alias("x"))
     line = ["doc_id", "row", "pos", "h"]
     sums = [F.sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(_ONES))).alias(f"s{j}") for j in range(_WIDTH)]
-    chunks = stored(hashed.groupBy(*line, "chunk").agg(F.count("*").alias("n"), *sums), "chunks")
+    chunks = hashed.groupBy(*line, "chunk").agg(F.count("*").alias("n"), *sums)
 
     def bits(above: Column) -> Column:
         """A bit for each counter c with 2 c > above: the top bit of 2 c + 2^8 - 1 - above, for all counters at once."""
@@ -77,8 +85,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     n, quarter = F.col("n"), F.expr("n div 4")
     last = (F.col("chunk") == 0) & (n < CHUNK)
     balanced = (F.bit_count(bits(n - quarter - 1)) - F.bit_count(bits(n + quarter))).cast("long")
-    short = chunks.where(last).select(*line, "n", bits(n).alias("sim"), balanced.alias("balanced"))
-    by_bit = chunks.where(~last).select(*line, "n", F.posexplode(F.array(*(f"s{j}" for j in range(_WIDTH)))).alias("j", "s")).select(*line, "n", "j", F.posexplode(F.array(*(F.shiftright("s", _WIDTH * k).bitwiseAND(F.lit((1 << _WIDTH) - 1)) for k in range(_LANES)))).alias("k", "c"))
+    counters = F.when(~last, F.array(*(f"s{j}" for j in range(_WIDTH))))  # for lines of several chunks only
+    chunks = stored(chunks.select(*line, "n", bits(n).alias("sim"), balanced.alias("balanced"), counters.alias("counters")), "chunks")
+    short = chunks.where("counters is null").drop("counters")
+    by_bit = chunks.where("counters is not null").select(*line, "n", F.posexplode("counters").alias("j", "s")).select(*line, "n", "j", F.posexplode(F.array(*(F.shiftright("s", _WIDTH * k).bitwiseAND(F.lit((1 << _WIDTH) - 1)) for k in range(_LANES)))).alias("k", "c"))
     summed = by_bit.groupBy(*line, "j", "k").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
     bit = F.when(F.col("c") * 2 > n, F.expr(f"shiftleft(1L, j + {_WIDTH} * k)")).otherwise(F.lit(0).cast("long"))
     near = F.count_if(F.abs(F.col("c") * 2 - n) <= quarter)
@@ -95,7 +105,7 @@ def block_keys(sim: Column) -> Column:
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, removed): line numbers that go, for every row key with any."""
     session(docs.sparkSession)
-    found = stored(fingerprints(docs, key, text), "lines")
+    found = fingerprints(docs, key, text)
     classes = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("balanced").alias("balanced"), F.count("*").alias("count")), "line-classes")
     near = classes.where((F.col("n") >= LEAST_WORDS) & (F.col("balanced") >= LEAST_BALANCED))
     # the most frequent class of a bucket leads: of many variants it is the one that they vary
@@ -107,12 +117,12 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     def verifier(ids: DataFrame):
         at = near.join(ids, near["h"] == ids["id"]).groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("at"))
         whole = docs.select(row_key(docs, key, text).alias("row"), F.col(text).alias("_text"))
-        picked = whole.join(at, "row").select(let(F.split("_text", "\n"), lambda a: F.transform("at", lambda p: F.struct(p["h"].alias("h"), F.array_join(normal_words(F.get(a, p["pos"])), " ").alias("line")))).alias("got"))
+        picked = whole.join(at, "row").select(let(F.split("_text", "\n"), lambda a: F.transform("at", lambda p: F.struct(p["h"].alias("h"), coded(normal_words(F.get(a, p["pos"]))).alias("line")))).alias("got"))
         texts = stored(picked.select(F.explode("got").alias("g")).select("g.h", "g.line"), "candidate-lines")
 
         def verify(pairs: DataFrame) -> DataFrame:
             a, b = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-            edits = F.expr(f"levenshtein(la, lb, cast(least({MAX_EDITS}, greatest(length(la), length(lb)) div 10) as int))")
+            edits = F.expr("levenshtein(la, lb, cast(greatest(length(la), length(lb)) div 10 as int))")
             return pairs.join(b, "b").join(a, "a").select("a", "b", (edits >= 0).alias("linked")).dropDuplicates(["a", "b"])
 
         return verify

@@ -6,7 +6,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, jaccard, katz, line_dedup, pieces, pii, quality, substring_dedup, warc
+from . import decontamination, html_text, jaccard, katz, line_dedup, oracles, pieces, pii, quality, substring_dedup, warc
 from .common import session, table
 
 
@@ -27,7 +27,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_back(warc.archive(table(spark, sf_dir, "pages")))
+    return warc.read_back(warc.archive(table(spark, sf_dir, "pages"))).drop("record_id", "warc_date", "target_uri")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("class_id")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,4 @@ QUERIES = {
 if find_spec("corpus_pipeline"):
     QUERIES["pipeline"] = pipeline
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracles.ORACLE_SQL

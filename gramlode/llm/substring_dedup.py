@@ -120,7 +120,7 @@ def _send(bits: int):
             mine = sent[seg.doc]
             doc, start, count = (x[mine].astype("<i4") for x in (seg.doc, seg.start, seg.count))
             meta = np.array([len(rows), len(doc)], "<i4").tobytes() + doc.tobytes() + start.tobytes() + count.tobytes() + whole.astype(np.uint8).tobytes()
-            out = [(-1, base + k, meta, rows.astype("<i8").tobytes())]
+            out = [(-1 - base - k, base + k, meta, rows.astype("<i8").tobytes())]
             anchor, content, own = seg.anchor[mine], seg.content[mine], seg.own[mine]
             bucket = (anchor >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
