@@ -43,7 +43,7 @@ def matches(string: String, data: bytes) -> list[tuple[int, int]]:
     found: dict[int, int] = {}
     for pattern, wide in patterns(string):
         at = 0
-        while (m := pattern.search(data, at)) is not None:
+        while at <= len(data) and (m := pattern.search(data, at)) is not None:
             a, b = m.span()
             at = a + 1
             if b > a and not ("fullword" in string.modifiers and _joined(data, a, b, wide)):
