@@ -32,7 +32,7 @@ PUNCTUATION_RUN = r"[#*$%&|<>=_~^+]{3}"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def repeated(w: Column) -> Column:
