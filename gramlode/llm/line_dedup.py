@@ -56,9 +56,11 @@ def row_key(docs: DataFrame, key: str, text: str) -> Column:
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, pos, line, words) of every line with words."""
-    split = docs.select(F.col(key).alias("doc_id"), row_key(docs, key, text).alias("row"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
-    return split.select("doc_id", "row", "pos", normal_words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    """(doc_id, row, pos, words) of every line. (No filter here: it would split each line a second time.)"""
+    # what is computed once a document stands below the explode
+    cut = docs.select(F.col(key).alias("doc_id"), row_key(docs, key, text).alias("row"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("all"))
+    split = cut.select("doc_id", "row", F.posexplode("all").alias("pos", "line"))
+    return split.select("doc_id", "row", "pos", normal_words(F.col("line")).alias("words"))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
