@@ -216,7 +216,8 @@ def _ask(bits: int, const: Constants):
                     own = hs & ((1 << 40) - 1)
                     ws, at_w = np.unique(at[mine], return_inverse=True)
                     h_part = [squeeze(context[own]), squeeze(np.where(hs >> 40, c_context[own], 0).astype("<u4")), squeeze(n_h.astype("<u4"))]
-                    w_part = [squeeze(steps(words[ws])), squeeze(counts[ws]), squeeze(np.packbits(held))]
+                    # 48 bits of its hash tell a word from the others of its context
+                    w_part = [squeeze(steps(words[ws] >> np.uint64(16))), squeeze(counts[ws]), squeeze(np.packbits(held))]
                     # documents ascend within a context, so their steps are small
                     step = np.diff(doc[mine], prepend=0).astype("<i4")
                     parts = [*h_part, *w_part, squeeze(at_w.astype("<u4")), squeeze(step)]
