@@ -1,15 +1,17 @@
 """Fuzzy removal of repeated lines, in DataFrame expressions only.
 
 Lines are normalised to lower-case words (ASCII punctuation as separators). Equal normalised lines are one
-class. Classes of LEAST_WORDS words or more get a 63-bit SimHash of their words; two SimHashes that differ in
-at most BITS_APART bits agree in two of four blocks, so the six pairs of blocks are the join keys. (Lines
-in which a few words make up most are compared with equal lines only: their SimHash is that of those words, which
-shows when fewer than LEAST_BALANCED of its sums are near zero.) Pairs within BITS_APART bits are verified by edit
-similarity: the edit distance of their words is at most a tenth of the longer line's words. Words stand for it as
-characters, by a hash of CODES values. Of each connected group the first line by doc_id and line number
-stays; all its other occurrences go.
-
-SimHash sums are kept as seven counters of 9 bits in a long, nine longs for up to CHUNK words, which the map
+class. Two classes are linked if the edit distance of their words is at most a tenth of the longer line's words.
+Words stand for it as characters, by a hash of CODES values. Of each connected group the first line by doc_id and
+line number stays; all its other occurrences go.
+
+Every pair within that bound is compared. An edit changes at most GRAM of a line's runs of GRAM words, so with k
+edits all but GRAM k runs of the longer line are in both. In any fixed order of the runs the first GRAM k + 1 of each
+line then have one in common: these are the join keys, and long words, which are rare, come first in the order. Pairs
+that meet are compared if their lengths allow it and so does their parity, a word of 63 bits in which each word flips
+one: k edits change at most 2 k of them.
+
+`fingerprints` gives the SimHash of lines; links don't depend on it. SimHash sums are kept as seven counters of 9 bits in a long, nine longs for up to CHUNK words, which the map
 side adds up before the shuffle; lines with more words have several such rows, added up by bit. Texts are
 shuffled once, to fetch the candidate lines.
 
@@ -20,19 +22,18 @@ columns pass through `dedup`.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linkage
 from .common import let, lookup, session, stored
 
-BITS_APART = 2
-#: Sizes of the blocks of a SimHash, and where they begin.
-BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 15))
+#: Limits on the SimHashes of linked lines, which at these values exclude none.
+BITS_APART, LEAST_BALANCED = 63, 0
+#: A line of fewer words can't be within a tenth of its words of another.
 LEAST_WORDS = 8
-LEAST_BALANCED = 32
+#: Words of a run, bits of a key that hold its hash, and bits of a parity.
+GRAM, HASH_BITS, PARITY_BITS = 3, 55, 63
 #: Characters that words become for the edit distance: from U+4E00 on.
 CODES, FIRST_CODE = 20_992, 0x4E00
 #: 63 bits as 9 longs of 7 counters; a counter of 9 bits takes up to CHUNK words, a quarter more for comparisons.
@@ -98,23 +99,41 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return short.unionByName(long)
 
 
-def block_keys(sim: Column) -> Column:
-    """One key for every pair of blocks."""
-    part = lambda at, width: F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << width) - 1))
-    return F.array(*(part(*a) + part(*b) * (1 << 16) + F.lit(n << 32) for n, (a, b) in enumerate(combinations(BLOCKS, len(BLOCKS) - BITS_APART))))
+def gram_keys(words: Column) -> Column:
+    """The first runs of a line: lines within the edit bound have one in common."""
+    most = (1 << 63 - HASH_BITS) - 1
+
+    def ordered(at: Column) -> Column:
+        run = [F.get(words, at + k) for k in range(GRAM)]  # slice would copy the whole line for each run
+        rank = F.lit(most) - F.least(sum(map(F.octet_length, run), F.lit(0)), F.lit(most))
+        return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*run), 64 - HASH_BITS))
+
+    n = F.size(words)
+    runs = F.transform(F.sequence(F.lit(0), n - GRAM), ordered)
+    # a longer line may allow one edit more; it is at least 10 - n % 10 words longer then, and has as many runs more
+    more = F.greatest(F.lit(0), n % 10 + (GRAM - 10))
+    return F.array_distinct(F.slice(F.sort_array(runs), 1, F.expr("n div 10") * GRAM + 1 + more))
+
+
+def parity(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(PARITY_BITS)).cast("int"))))
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, removed): line numbers that go, for every row key with any."""
     session(docs.sparkSession)
-    found = fingerprints(docs, key, text)
-    classes = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("balanced").alias("balanced"), F.count("*").alias("count")), "line-classes")
-    near = classes.where((F.col("n") >= LEAST_WORDS) & (F.col("balanced") >= LEAST_BALANCED))
+    whole = lines(docs, key, text).select("doc_id", "row", "pos", "words", F.size("words").alias("n"), F.xxhash64("words").alias("h"))
+    fuzzy = lambda value: F.when(F.col("n") >= LEAST_WORDS, value)
+    found = stored(whole.select("doc_id", "row", "pos", "h", "n", fuzzy(parity(F.col("words"))).alias("parity"), fuzzy(gram_keys(F.col("words"))).alias("keys")), "lines").where("n > 0")
+    classes = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first"), F.first("parity").alias("parity"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("count")), "line-classes")
+    near = classes.where(F.col("n") >= LEAST_WORDS)
     # the most frequent class of a bucket leads: of many variants it is the one that they vary
-    keys = near.select(F.explode(block_keys(F.col("sim"))).alias("key"), F.col("h").alias("id"), (-F.col("count")).alias("rank"), "sim")
+    keys = near.select(F.explode("keys").alias("key"), F.col("h").alias("id"), (-F.col("count")).alias("rank"), "n", "parity")
 
     def admit(x: str, y: str) -> Column:
-        return F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim"))) <= BITS_APART
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        edits = F.floor(F.greatest(n, m) / 10)
+        return (F.abs(n - m) <= edits) & (F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= 2 * edits)
 
     def verifier(ids: DataFrame):
         at = near.join(ids, near["h"] == ids["id"]).groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("at"))
@@ -129,7 +148,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
         return verify
 
-    linked = linkage.link(keys, verifier, admit, ["rank", "sim"])
+    linked = linkage.link(keys, verifier, admit, ["rank", "n", "parity"])
     grouped = classes.join(linked.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     grouped = stored(grouped.select("h", "component", "first", "count"), "line-groups")
     keep = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("count").alias("rows")).where("rows > 1").select("component", "keep")

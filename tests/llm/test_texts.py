@@ -157,6 +157,45 @@ def test_fuzzy_lines(spark):
     assert sum(map(len, kept.values())) == len(lines) - len(want)
 
 
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def gone_by_edits(lines):
+    """The lines that go if all pairs within the edit bound are links, by brute force."""
+    words, at = [x.split(" ") for x in lines], list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            most = max(len(words[a]), len(words[b])) // 10
+            if at[a] != at[b] and abs(len(words[a]) - len(words[b])) <= most and word_edits(words[a], words[b]) <= most:
+                at = [min(at[a], at[b]) if x in (at[a], at[b]) else x for x in at]
+    return {k for k, x in enumerate(at) if x != k}
+
+
+def test_all_near_lines(spark):
+    """Every pair within the edit bound is a link, whatever the SimHashes: substituted, dropped and added words, up to the full tenth."""
+    r = random.Random(17)
+    lines, fresh = [], iter(range(100_000))
+    for n in (9, 10, 10, 11, 17, 18, 19, 20, 28, 29, 30, 39, 60, 100, 199):
+        base = [f"{r.choice('abcdefgh')}{r.randrange(900)}" for _ in range(n)]
+        lines.append(" ".join(base))
+        for kind in ("change", "drop", "add", "mixed", "spread"):
+            x = list(base)
+            for e in range((n + (kind in ("add", "mixed"))) // 10 or 1):
+                at = e * 10 + 4 if kind == "spread" else r.randrange(len(x))
+                how = r.choice(("change", "drop", "add")) if kind == "mixed" else kind
+                x[min(at, len(x) - 1) : min(at, len(x) - 1) + (how != "add")] = [] if how == "drop" else [f"new{next(fresh)}"]
+            lines.append(" ".join(x))
+    want = gone_by_edits(lines)
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    assert {x.doc_id for x in line_dedup.judge(docs).collect() if x.n_removed} == want and len(want) > 50
+
+
 def test_fingerprint_bits(spark):
     """The packed counters against one count per bit."""
     from pyspark.sql import functions as F
