@@ -74,9 +74,14 @@ _LETTER_DIGIT = re.compile(r"(?<=[0-9])(?:[Oo]+|[lI|]+)(?=[ -]?[0-9])")
 
 #: Rows to which the base patterns, or the transducers, can have anything to say; linear over the batch.
 BASE_SIGNS = "[0-9@]"
+# what Python's \s has beyond the \s of Arrow's patterns
+_blank = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_gap = rf"(?:{_blank}|-)+"
+# every rewrite begins with one of these: a bracketed or spaced word, digit words that _spell takes, O or l among digits, a character
 DISGUISE_SIGNS = (
-    rf"(?i)[\[({{<]\s*(?:{_at}|{_dot}|@|\.)\s*[\])}}>]|\s(?:{_dot})\s|(?:(?:^|[\s-]|\W)(?:{_spelled})[\s-]+(?:{_spelled})[\s-]+(?:{_spelled}))"
-    r"|[0-9][OolI|]+[ -]?[0-9]|[" + "".join(sorted({*map(chr, HOMOGLYPHS)} - {" ", "–", "‐", "‑"})) + INVISIBLE + "]"
+    rf"(?i)[\[({{<]{_blank}*(?:{_at}|{_dot}|@|\.){_blank}*[\])}}>]|{_blank}(?:{_dot}){_blank}|(?:(?:^|\W)(?:{_spelled}){_gap}(?:{_spelled}){_gap}(?:{_spelled}))"
+    rf"|(?:{_spelled})\.|\.(?:{_spelled})|plus{_gap}(?:{_spelled})"
+    r"|[0-9][OolI|]+[ -]?[0-9]|[" + "".join(sorted(map(chr, HOMOGLYPHS))) + INVISIBLE + "]"
 )
 
 

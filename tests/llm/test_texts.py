@@ -244,6 +244,22 @@ def test_pii_table(spark, docs, empty):
     assert pii.find_pii(docs).count() == docs.count() and pii.find_pii(empty).count() == 0
 
 
+def test_pii_gate(spark):
+    """Whatever the transducers find is found in the table too: no row with a disguise stops at the linear scan."""
+    texts = [
+        "+1 415–555–0123", "+49 30 1234 5678", "4111\u00a01111\u00a01111\u00a01111", "+49\u00a030\u00a01234\u00a05678", "4111‐1111‑1111–1111", "192.168.one.one", "one.168.1.1", "plus four nine 30 1234 5678",
+        "john‑doe@example.com", "1.2.3\u2003dot\u20034", "plus\u2009one\u2009five five five five one two three four five six",
+    ]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hidden = 0
+    for k, text in enumerate(texts):
+        base = pii.base_spans(text)
+        more = pii.disguised_spans(text, base)
+        hidden += bool(more)
+        assert got[k] == pii._joined(sorted({*base, *more}, key=lambda x: (x[0], pii.KINDS.index(x[2]), x[1]))), text
+    assert hidden == len(texts) - 1  # the second is plain
+
+
 # --- op5
 
 
