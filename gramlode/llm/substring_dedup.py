@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import session, stored, tidy
+from .common import let, session, stored, tidy
 from .exchange import bucket_bits, dealt, grouped
 from .fm_index import FMIndex
 from .words import SPACE_WORDS, Texts, Windows, mix, slices, window_starts
@@ -280,12 +280,21 @@ def _search(batches):
         yield _batch(out, _FOUND)
 
 
+def one_plan(plans: DataFrame) -> DataFrame:
+    """The plans of rows with equal id and text as one: of each segment the largest fate, which may be in any of them."""
+    names = ["start", "fate", "count", "anchor"]
+    all_of = plans.groupBy("row").agg(F.max("whole").alias("whole"), F.sort_array(F.flatten(F.collect_list(F.arrays_zip(*names)))).alias("all"))
+    last = lambda a: F.filter(a, lambda s, i: F.coalesce(F.get(a, i + 1)["start"] != s["start"], F.lit(True)))
+    merged = all_of.select("row", "whole", let(F.col("all"), last).alias("all"))
+    return merged.select("row", "whole", *(F.col("all")[c].alias(c) for c in ("start", "count", "fate", "anchor")))
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(row, whole, from, to): word ranges of every document (row, text) that repeated windows cover."""
     bits = bucket_bits(docs)
     met = dealt(docs.mapInArrow(tidy(_send(bits)), _ROW_DDL), "bucket").mapInArrow(tidy(_meet), _ROW_DDL)
     plans = dealt(met, "slice").mapInArrow(tidy(_plans), "row long, whole boolean, start array<int>, count array<int>, fate array<int>, anchor array<long>")
-    plans = stored(plans.dropDuplicates(["row"]), "segments")
+    plans = stored(one_plan(plans), "segments")
     need = plans.where(F.exists("fate", lambda f: f > REPEATED)).drop("whole")
     shards = bucket_bits(docs, per=SHARD_BYTES, least=4)
     words = docs.dropDuplicates(["row"]).join(need, "row").mapInArrow(tidy(_words(shards)), "shard long, row binary, start binary, count binary, search binary, words binary")

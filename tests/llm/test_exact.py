@@ -191,6 +191,32 @@ def test_substrings(docs, texts, empty):
     assert substring_dedup.dedup(empty).count() == 0
 
 
+def test_substrings_repeated_rows(spark):
+    """A row that stands twice, in two slices or in one, beside a document that shares only a part of its text."""
+    r = random.Random(23)
+    prose = lambda n: " ".join(f"v{r.randrange(5000)}" for _ in range(n))
+    rows = []
+    for k in range(24):
+        whole = prose(120)
+        part = " ".join(whole.split()[17 + k : 17 + k + 40])
+        rows += [(k if k % 3 else None, whole), (100 + k, f"{prose(50)} {part} {prose(50)}")]
+    left = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    twice = left.where("doc_id < 100 or doc_id is null")
+    want = Counter((i, *v) for i, v in zip([i for i, _ in rows] + [i for i, _ in rows if i is None or i < 100], without_repeats([t for _, t in rows] + [t for i, t in rows if i is None or i < 100]).values()))
+    for docs in (left.unionByName(twice), left.unionByName(twice).coalesce(1)):
+        got = Counter(tuple(x) for x in substring_dedup.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+        assert got == want
+
+
+def test_one_plan(spark):
+    """Plans of a repeated row, in both orders and one of them empty: each segment keeps its largest fate."""
+    full, other, bare = (False, [0, 40], [5, 6], [1, 2], [-7, 8]), (False, [0, 40], [5, 6], [2, 1], [-7, 8]), (True, [], [], [], [])
+    kind = "row long, whole boolean, start array<int>, count array<int>, fate array<int>, anchor array<long>"
+    for plans, fate in (([full, other], [2, 2]), ([other, full], [2, 2]), ([bare, full], [1, 2]), ([full, bare], [1, 2])):
+        (got,) = substring_dedup.one_plan(spark.createDataFrame([(1, *p) for p in plans], kind)).collect()
+        assert tuple(got) == (1, bare in plans, [0, 40], [5, 6], fate, [-7, 8])
+
+
 def test_substrings_hot_anchors(docs, texts, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", 1)
     monkeypatch.setattr(substring_dedup, "fates", lambda *a, f=substring_dedup.fates: f(*a))
