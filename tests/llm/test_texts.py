@@ -196,6 +196,17 @@ def test_all_near_lines(spark):
     assert {x.doc_id for x in line_dedup.judge(docs).collect() if x.n_removed} == want and len(want) > 50
 
 
+def test_unbalanced_near_lines(spark):
+    """Lines of 11 distinct words, and lines in which a few words dominate, are linked as others are."""
+    lines = []
+    for k in range(12):
+        x = [f"p{k}x{j}" for j in range(11)] if k % 2 else [("and", "or", f"q{k}")[min(j, 37 - j) % 3] for j in range(38)]
+        lines += [" ".join(x), " ".join([*x[:5], f"other{k}", *x[6:]])]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    want = gone_by_edits(lines)
+    assert {x.doc_id for x in line_dedup.judge(docs).collect() if x.n_removed} == want and len(want) >= 12
+
+
 def test_fingerprint_bits(spark):
     """The packed counters against one count per bit."""
     from pyspark.sql import functions as F
