@@ -1,24 +1,30 @@
-"""Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights.
+"""Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights, any order.
 
-The model has two orders. A token's probability after its context h is
+A token's probability after its context h of k - 1 tokens, with h' the context without its first token, is
 
-    p(w | h) = d(r) r / c(h)      for a bigram seen r > 0 times
-             = alpha(h) p(w)      else, if h was seen
-             = p(w)               for a context that was never seen
+    p(w | h) = d_k(r) r / c(h)       for an n-gram seen r > 0 times
+             = alpha(h) p(w | h')    else, if h was seen
+             = p(w | h')             for a context that was never seen
 
-with p(w) = (c + 0.5) / (N + 0.5 (V + 1)), which leaves 0.5 for all unknown words together, d(r) the Katz discount
-from the counts of counts for r <= CUTOFF and 1 above, and alpha(h) such that the sum over all words and the
-unknown one is 1. A context without discounted mass gets one more count in its denominator.
+down to p(w) = (c + 0.5) / (N + 0.5 (V + 1)), which leaves 0.5 for all unknown words together. d_k(r) is the Katz
+discount from the counts of counts of order k for r <= CUTOFF and 1 above, and alpha(h) such that the sum over
+all words and the unknown one is 1. A context without discounted mass gets one more count in its denominator.
+A context reaches back to the start of its text and no further.
 
-The corpus is spread over tables by hash and never gathered:
+The model is two tables in the shared folder, written once and read by `Model.score` for other documents: words by
+hash bucket, and n-grams by shard of the word before the last, so that all contexts that a token backs off through
+are in one shard and the recursion needs no further exchange. The corpus is never gathered:
 
-1. `_send`: each slice of texts sends its distinct words and bigrams, with training counts, to buckets of
-   their hash, and keeps its token sequence. `_count` adds up: word counts return, counts of counts are kept.
-2. `_ask`: each slice sends its bigrams to the shard of their context, with the words' counts. A shard holds
-   all of its contexts: it computes their probabilities and weights and scores the bigrams (`_score`).
-   Contexts with HOT_SHARE of the tokens or more (at most 1 / HOT_SHARE, and the start) are split by
-   bigram; their weights are added up from all parts and applied last.
-3. Partial sums return to the documents.
+1. `_send`: each slice of texts sends its distinct words with training counts to buckets of their hash and keeps
+   its token sequence. `_count` adds up, numbers the words by falling count and answers; `_states` keeps a slice.
+2. `_ask`: each slice sends its distinct n-grams, as word numbers with training counts, to their shards. `_gather`
+   writes the shard's n-gram table, and where in it each slice's n-grams are.
+3. `_answer` computes every probability of a shard by the recursion above; `_sum` adds them up by document.
+
+A word with HOT_TOKENS tokens or more is split: its n-grams go to shards by the two words before the last, and
+their counts as bigrams are added up over the shards (`_hot_bigrams`).
+
+Words are told apart by 64-bit hashes (V distinct words collide with a chance of V^2 / 2^65), n-grams exactly.
 
 Defined results: a null or empty text is the end token alone; a null id counts as training; repeated rows are
 counted each time; other columns are not read. An empty table gives an empty result.
@@ -27,6 +33,7 @@ counted each time; other columns are not read. An empty table gives an empty res
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +44,18 @@ from .common import session, stored, tidy
 from .exchange import bucket_bits, dealt, grouped, squeeze, steps, unsqueeze
 from .words import SPACE_WORDS, Texts, mix, slices
 
+ORDER = 3
 CUTOFF = 5
-HOT_SHARE = 1 / 1000
+#: Training tokens of a word from which on its n-grams are split over shards.
+HOT_TOKENS = 2_000_000
 SLICE_BYTES = 8 << 20
 SHARD_BYTES = 16 << 20
 FOLDS, HELD_OUT = 5, 1
-START, END = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
-_LOW = np.uint64((1 << 48) - 1)
+END = np.uint64(0x2545F4914F6CDD1D)
+#: Numbers of no word (before the start), of the start, of all words that training has not seen; then the words.
+NONE, START, UNKNOWN, FIRST = 0, 1, 2, 3
+#: Hot contexts whose sums are broadcast; more of them are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 _ROW = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("stats", pa.list_(pa.int64()))])
 _DDL = "bucket long, slice long, a binary, b binary, c binary, stats array<long>"
@@ -53,8 +65,16 @@ def _batch(rows, schema=_ROW):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(schema), schema.types)], schema=schema)
 
 
-def bigram(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit numbers, compressed one by one."""
+    parts = [squeeze(a.astype("<i8")) for a in arrays]
+    return np.array([len(parts), *map(len, parts)], "<i4").tobytes() + b"".join(parts)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, "<i4", 1)[0])
+    ends = 4 + 4 * n + np.cumsum([0, *np.frombuffer(data, "<i4", n, 4)])
+    return [unsqueeze(data[a:z], "<i8") for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -72,52 +92,37 @@ def tokens_of(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def contexts_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[first[:-1]] = START
-    return out
+def _ranges(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(key, from, to) of the runs of an ascending array."""
+    edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, dtype=np.int64)
+    return [(int(keys[a]), int(a), int(z)) for a, z in zip(edges[:-1], edges[1:])]
+
 
+def _send(bits: int, learn: bool):
+    """Words of a slice by bucket of their hash; a negative bucket keeps its tokens and documents."""
 
-def _send(bits: int, key: str):
     def run(batches):
         from pyspark import TaskContext
 
         base, k = TaskContext.get().partitionId() << 32, -1
         for batch in slices(batches, "text", SLICE_BYTES):
             k += 1
-            held = held_out(batch.column(key).to_pylist())
+            ids = batch.column("doc_id")
+            held = held_out(ids.to_pylist())
+            train = ~held & learn
             tokens, first = tokens_of(Texts(batch.column("text"), SPACE_WORDS, lower=True))
-            train = np.repeat(~held, np.diff(first))
             words, at = np.unique(tokens, return_inverse=True)
-            counts = np.bincount(at, weights=train, minlength=len(words)).astype("<u4")
-            pairs, times = np.unique(bigram(contexts_of(tokens, first), tokens)[train], return_counts=True)
-            ids = batch.column(key)
-            meta = np.stack([first[1:].astype("<i8"), held.astype("<i8"), ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False).astype("<i8")])
-            own = squeeze(at.astype("<u4"))
-            rows = [(-1 - base - k, base + k, own, squeeze(steps(words).astype("<u8")), squeeze(meta.ravel()), [len(words), int((~held).sum())])]
-            # both lists are sorted, so buckets of their top bits are ranges of them
-            cut = [np.searchsorted(x >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) for x in (words, pairs)]
-            for b in range(1 << bits):
-                i, j, p, q = cut[0][b], cut[0][b + 1], cut[1][b], cut[1][b + 1]
-                if i < j or p < q:
-                    word = squeeze(steps(words[i:j]).astype("<u8"))
-                    head = np.array([len(word)], "<i4").tobytes()
-                    # bigrams by 48 bits below those of the bucket
-                    rows.append((b, base + k, head + word + squeeze(counts[i:j]), squeeze(steps(pairs[p:q] >> np.uint64(16 - min(bits, 16))).astype("<u8")), squeeze(times[p:q].astype("<u4")), []))
+            counts = np.bincount(at, weights=np.repeat(train, np.diff(first)), minlength=len(words)).astype(np.int64)
+            meta = _pack(first, held, train, ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False))
+            rows = [(-1 - base - k, base + k, squeeze(at.astype("<u4")), meta, b"", [int(train.sum())])]
+            rows += [(b, base + k, _pack(steps(words[i:j]).view(np.int64), counts[i:j]), b"", b"", []) for b, i, j in _ranges(words >> np.uint64(64 - bits))]
             yield _batch(rows)
 
     return run
 
 
-def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums by distinct key, and the place of each entry's key among them."""
-    found, at = np.unique(keys, return_inverse=True)
-    return np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64), at
-
-
-def _count(bits: int):
-    """Word counts back to their slices; per bucket a row of slice -1: N, V, counts of counts 1 to CUTOFF + 1."""
+def _count(bits: int, hot_tokens: int):
+    """Numbers and counts of words back to their slices; per bucket a row of slice -1 with its table and N, V, words and tokens that are hot."""
 
     def run(batches):
         for bucket, rows in grouped(batches, "bucket"):
@@ -125,39 +130,40 @@ def _count(bits: int):
                 for r in rows:
                     yield _batch([tuple(r.values())])
                 continue
-            heads = [np.frombuffer(r["a"], "<i4", 1)[0] for r in rows]
-            parts = [np.cumsum(unsqueeze(r["a"][4 : 4 + m], "<u8"), dtype=np.uint64) for r, m in zip(rows, heads)]
-            sizes = [len(x) for x in parts]
-            total, at = _totals(np.concatenate(parts), np.concatenate([unsqueeze(r["a"][4 + m :], "<u4") for r, m in zip(rows, heads)]))
-            pairs = np.concatenate([np.cumsum(unsqueeze(r["b"], "<u8"), dtype=np.uint64) for r in rows])
-            seen = _totals(pairs, np.concatenate([unsqueeze(r["c"], "<u4") for r in rows]))[0]
-            stats = [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(seen, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()]
-            mine, k, out = total[at].astype("<u4"), 0, [(bucket, -1, b"", b"", b"", stats)]
-            for r, n in zip(rows, sizes):
-                out.append((bucket, r["slice"], squeeze(mine[k : k + n]), b"", b"", []))
-                k += n
+            parts = [_unpack(r["a"]) for r in rows]
+            keys = [np.cumsum(p[0].view(np.uint64), dtype=np.uint64) for p in parts]
+            words, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.zeros(len(words), dtype=np.int64)
+            np.add.at(total, at, np.concatenate([p[1] for p in parts]))
+            number = np.empty(len(words), dtype=np.int64)
+            number[np.argsort(-total, kind="stable")] = np.arange(len(words), dtype=np.int64) * (1 << bits) + bucket + FIRST
+            known, hot = total > 0, total >= hot_tokens
+            number[~known] = UNKNOWN
+            out = [(bucket, -1, _pack(steps(words[known]).view(np.int64), total[known]), b"", b"", [int(total.sum()), int(known.sum()), int(hot.sum()), int(total[hot].sum())])]
+            k = 0
+            for r, x in zip(rows, keys):
+                mine = at[k : k + len(x)]
+                k += len(x)
+                if r["slice"] >= 0:
+                    out.append((bucket, r["slice"], _pack(number[mine], total[mine]), b"", b"", []))
             yield _batch(out)
 
     return run
 
 
-_STATE = pa.schema([("slice", pa.int64()), ("tokens", pa.binary()), ("words", pa.binary()), ("meta", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
-_STATE_DDL = "slice long, tokens binary, words binary, meta binary, counts binary, stats array<long>"
-
-
 def _states(batches):
-    """One row per slice: its tokens, words and their counts. Slice -1: a row of statistics per bucket."""
+    """One row per slice: its tokens, documents, and its words' numbers and counts. Slice -1: the rows of `_count`."""
     for s, rows in grouped(batches, "slice"):
         if s < 0:
-            yield _batch([(s, b"", b"", b"", b"", r["stats"]) for r in rows], _STATE)
+            yield _batch([tuple(r.values()) for r in rows])
             continue
         own = next(r for r in rows if r["bucket"] < 0)
-        counts = np.concatenate([np.zeros(0, "<u4"), *(unsqueeze(r["a"], "<u4") for r in sorted(rows, key=lambda r: r["bucket"]) if r["bucket"] >= 0)])
-        yield _batch([(s, own["a"], own["b"], own["c"], squeeze(counts), own["stats"])], _STATE)
+        answers = [_unpack(r["a"]) for r in sorted(rows, key=lambda r: r["bucket"]) if r["bucket"] >= 0]
+        yield _batch([(-1, s, own["a"], own["b"], _pack(*map(np.concatenate, zip(*answers))), own["stats"])])
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """d(0) to d(CUTOFF), from the number of bigrams seen 1, 2, ... CUTOFF + 1 times; 1 where an estimate is not in (0, 1)."""
+    """d(0) to d(CUTOFF), from the number of n-grams seen 1, 2, ... CUTOFF + 1 times; 1 where an estimate is not in (0, 1)."""
     out = np.ones(CUTOFF + 1)
     if n[0] and n[CUTOFF]:
         common = (CUTOFF + 1) * n[CUTOFF] / n[0]
@@ -168,204 +174,311 @@ def discounts(n: list[int]) -> np.ndarray:
     return out
 
 
+@dataclass
 class Constants:
-    """Totals of the training tokens and what follows from them."""
-
-    def __init__(self, n: int, v: int, counts: list[int], documents: int):
-        self.n, self.v, self.documents, self.d = n, v, documents, discounts(counts)
-        self.total = n + 0.5 * (v + 1)
-
-    def p(self, c: np.ndarray) -> np.ndarray:
+    """Totals of the training tokens, documents, hot words and their tokens, and the discounts of orders 2, 3, ..."""
+
+    n: int
+    v: int
+    documents: int
+    bits: int
+    order: int
+    hot_tokens: int
+    hot_shards: int
+    hot_words: int
+    d: list[np.ndarray] = field(default_factory=list)
+
+    @property
+    def total(self) -> float:
+        return self.n + 0.5 * (self.v + 1)
+
+    def p(self, c):
         return (c + 0.5) / self.total
 
 
-def unpack_state(r: dict):
-    ends, held, ids, nulls = unsqueeze(r["meta"], "<i8").reshape(4, -1)
-    words = np.cumsum(unsqueeze(r["words"], "<u8"), dtype=np.uint64)
-    return unsqueeze(r["tokens"], "<u4"), words, unsqueeze(r["counts"], "<u4"), np.concatenate([[0], ends]), held.astype(bool), ids, nulls.astype(bool)
-
-
-def _ask(bits: int, const: Constants):
-    """To shards of the context: bigrams with documents; to bucket -1: what is known of the documents already."""
-
+def weight(mass, lower, total):
+    """(denominator, alpha) of contexts: the discounted mass, the lower-order mass of seen words, the count."""
+    denominator = np.where(mass < total * (1 - 1e-12), total, total + 1.0)
+    left = np.where(total > 0, 1 - mass / np.maximum(denominator, 1), 1.0)
+    return denominator, left / np.where(total > 0, 1 - lower, 1.0)
+
+
+class Entries:
+    """Distinct n-grams of a slice by shard, and for each token its n-gram (-1: nothing before it is known)."""
+
+    def __init__(self, r: dict, const: Constants):
+        at = unsqueeze(r["a"], "<u4")
+        self.first, held, train, self.ids, nulls = _unpack(r["b"])
+        self.held, self.nulls, train = held.astype(bool), nulls.astype(bool), train.astype(bool)
+        numbers, counts = _unpack(r["c"])
+        self.counts = counts[at]
+        # the slice's numbers in ascending order stand for the words: few bits, and sorted alike everywhere
+        known, place = np.unique(np.concatenate([[NONE, START, UNKNOWN], numbers]), return_inverse=True)
+        token = place[3:][at]
+        total = np.zeros(len(known), dtype=np.int64)
+        total[place[3:]] = np.where(numbers == UNKNOWN, 0, counts)
+        total[START] = const.documents
+        n = len(token)
+        since = np.arange(n) - np.repeat(self.first[:-1], np.diff(self.first))
+        history = []
+        for k in range(1, const.order):
+            h = np.full(n, NONE, dtype=np.int64)
+            h[k:] = token[: n - k]
+            h[since < k] = NONE
+            h[since == k - 1] = START
+            if history:  # beyond an unknown word nothing is known
+                h[(history[-1] == NONE) | (history[-1] == START) | (h == UNKNOWN)] = NONE
+            history.append(h)
+        sent = history[0] != UNKNOWN
+        self.of_token = np.full(n, -1, dtype=np.int64)
+        key, span = np.zeros(int(sent.sum()), dtype=np.int64), 1
+        for x in (*history, token):
+            if span >= (1 << 62) // len(known):
+                key, span = np.unique(key, return_inverse=True)[1], len(key)
+            key, span = key * len(known) + x[sent], span * len(known)
+        _, lead, self.of_token[sent] = np.unique(key, return_index=True, return_inverse=True)
+        lead = np.flatnonzero(sent)[lead]
+        times = np.bincount(self.of_token[sent], weights=np.repeat(train, np.diff(self.first))[sent], minlength=len(lead)).astype(np.int64)
+        # two columns of words before the last always, so that hot words can be split
+        self.h, self.w, self.times, self.c1 = [known[h[lead]] for h in history], known[token[lead]], times, total[token[lead]]
+        near = mix(self.h[0].astype(np.uint64))
+        self.shard = (near >> np.uint64(64 - const.bits)).astype(np.int64)
+        if const.hot_shards:
+            hot = total[history[0][lead]] >= const.hot_tokens
+            further = self.h[1] if len(self.h) > 1 else np.zeros_like(self.w)
+            second = np.where(further == NONE, self.w, further).astype(np.uint64)
+            salted = mix(near + second * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(const.hot_shards)
+            self.shard = np.where(hot, (1 << const.bits) + salted.astype(np.int64), self.shard)
+        self.order = np.argsort(self.shard, kind="stable")
+        self.ranges = _ranges(self.shard[self.order])
+
+
+def pack_entries(h: list[np.ndarray], w: np.ndarray, c1: np.ndarray, times: np.ndarray) -> bytes:
+    """n-grams in ascending order: words before the last (nearest first), last word with its count, training count."""
+    words, lead, at = np.unique(w, return_index=True, return_inverse=True)
+    return _pack(np.diff(words, prepend=0), np.diff(c1[lead], prepend=0), at, times, *(np.diff(x, prepend=0) for x in h))
+
+
+def unpack_entries(data: bytes):
+    words, c1, at, times, *h = _unpack(data)
+    return [np.cumsum(x) for x in h], np.cumsum(words)[at], np.cumsum(c1)[at], times
+
+
+def _ask(const: Constants):
     def run(batches):
-        least = max(1, const.n * HOT_SHARE)
         for batch in batches:
             for r in batch.to_pylist():
-                at, words, counts, first, held, ids, nulls = unpack_state(r)
-                doc = np.repeat(np.arange(len(ids)), np.diff(first))
-                before = np.empty(len(at), dtype=np.int64)
-                before[1:] = at[:-1]
-                before[first[:-1]] = len(words)  # the start
-                known = counts[at] > 0
-                base = np.bincount(doc, weights=np.log10(counts[at] + 0.5), minlength=len(ids)) - np.diff(first) * np.log10(const.total)
-                meta = np.stack([ids, nulls, held, np.diff(first), np.bincount(doc, weights=known, minlength=len(ids)).astype("<i8")]).astype("<i8")
-                rows = [(-2 - r["slice"], r["slice"], meta.tobytes(), base.astype("<f8").tobytes(), b"", [])]
-                context = np.append(words, START)
-                c_context = np.append(counts, np.uint32(min(const.documents, 2**32 - 1)))
-                hot = np.append(counts >= least, True)
-                h, w = context[before], words[at]
-                shard = np.where(hot[before], bigram(h, w), h) >> np.uint64(64 - bits)
-                order = np.lexsort((doc, before, hot[before], shard))
-                edges = np.searchsorted(shard[order], np.arange((1 << bits) + 1, dtype=np.uint64))
-                for b in range(1 << bits):
-                    mine = order[edges[b] : edges[b + 1]]
-                    if not len(mine):
-                        continue
-                    hs, n_h = np.unique(before[mine] + np.where(hot[before[mine]], 1 << 40, 0), return_counts=True)
-                    own = hs & ((1 << 40) - 1)
-                    ws, at_w = np.unique(at[mine], return_inverse=True)
-                    h_part = [squeeze(context[own]), squeeze(np.where(hs >> 40, c_context[own], 0).astype("<u4")), squeeze(n_h.astype("<u4"))]
-                    # 48 bits of its hash tell a word from the others of its context
-                    w_part = [squeeze(steps(words[ws] >> np.uint64(16))), squeeze(counts[ws]), squeeze(np.packbits(held))]
-                    # documents ascend within a context, so their steps are small
-                    step = np.diff(doc[mine], prepend=0).astype("<i4")
-                    parts = [*h_part, *w_part, squeeze(at_w.astype("<u4")), squeeze(step)]
-                    head = np.array([int((hs >> 40).sum()), len(ids), *map(len, parts)], "<i4").tobytes()
-                    rows.append((b, r["slice"], head + b"".join(parts), b"", b"", []))
+                e = Entries(r, const)
+                rows = []
+                for b, i, j in e.ranges:
+                    mine = e.order[i:j]
+                    rows.append((b, r["slice"], pack_entries([h[mine] for h in e.h], e.w[mine], e.c1[mine], e.times[mine]), b"", b"", []))
                 yield _batch(rows)
 
     return run
 
 
-def _entries(r: dict):
-    n_hot, docs, *sizes = np.frombuffer(r["a"], "<i4", 10).tolist()
-    at, parts = 40, []
-    for n in sizes:
-        parts.append(r["a"][at : at + n])
-        at += n
-    h, c_h, times = unsqueeze(parts[0], "<u8"), unsqueeze(parts[1], "<u4"), unsqueeze(parts[2], "<u4")
-    w, c_w = np.cumsum(unsqueeze(parts[3], "<u8"), dtype=np.uint64), unsqueeze(parts[4], "<u4")
-    held = np.unpackbits(unsqueeze(parts[5], "u1"))[:docs].astype(bool)
-    of_w, doc = unsqueeze(parts[6], "<u4"), np.cumsum(unsqueeze(parts[7], "<i4"), dtype=np.int64)
-    hot = np.arange(len(h)) >= len(h) - n_hot
-    of = np.repeat(np.arange(len(h)), times)
-    return h[of], hot[of], c_h[of], w[of_w], c_w[of_w], doc, ~held[doc]
-
-
-def shard_model(pair_h, pair_hot, pair_c, w_count, train_count, const: Constants):
-    """For distinct bigrams sorted by context: (context number, first of each, log10 p if seen, sums of the context)."""
-    fresh = np.ones(len(pair_h), dtype=bool)
-    fresh[1:] = (pair_h[1:] != pair_h[:-1]) | (pair_hot[1:] != pair_hot[:-1])
-    of = np.cumsum(fresh) - 1
-    seen = train_count > 0
-    d = np.where(train_count <= CUTOFF, const.d[np.minimum(train_count, CUTOFF)], 1.0)
-    mass = np.bincount(of, weights=d * train_count)
-    lower = np.bincount(of, weights=np.where(seen, const.p(w_count), 0.0))
-    total = np.where(pair_hot[fresh], pair_c[fresh], np.bincount(of, weights=train_count))
-    return of, fresh, seen, d * train_count, mass, lower, total
+def _levels(h: list[np.ndarray], w: np.ndarray):
+    """For orders 2, 3, ...: (order, context of each entry, its n-gram, a first entry of each n-gram, takes part) of sorted entries."""
+    w = np.unique(w, return_inverse=True)[1]
+    size = int(w.max()) + 1 if len(w) else 1
+    fresh = np.zeros(len(w), dtype=bool)
+    fresh[:1] = True
+    for k, x in enumerate(h):
+        fresh[1:] |= x[1:] != x[:-1]
+        context = np.cumsum(fresh) - 1
+        _, lead, pair = np.unique(context * size + w, return_index=True, return_inverse=True)
+        yield k + 2, context, pair, lead, x != NONE
 
 
-def weight(mass, lower, total):
-    """(denominator, log10 alpha) of contexts: the discounted mass, the lower-order mass of seen words, the count."""
-    denominator = np.where(mass < total * (1 - 1e-12), total, total + 1.0)
-    left = np.where(total > 0, 1 - mass / np.maximum(denominator, 1), 1.0)
-    return denominator, np.log10(left / np.where(total > 0, 1 - lower, 1.0))
+_SHARD = pa.schema([("bucket", pa.int64()), ("grams", pa.binary()), ("stats", pa.list_(pa.int64())), ("slices", pa.list_(pa.int64())), ("places", pa.list_(pa.binary())), ("hot", pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64()), ("c1", pa.int64()), ("r", pa.int64())])))])
+_SHARD_DDL = "bucket long, grams binary, stats array<long>, slices array<long>, places array<binary>, hot array<struct<h long, w long, c1 long, r long>>"
 
 
-def _score(const: Constants):
-    """Per shard and slice: sums by document; counts of unseen bigrams after hot contexts; and sums of hot contexts."""
+def _gather(const: Constants):
+    """One row per shard: its n-grams with their training counts, counts of counts by order, places of each slice's n-grams."""
 
     def run(batches):
         for bucket, rows in grouped(batches, "bucket"):
-            if bucket < 0:
-                for r in rows:
-                    yield _batch([tuple(r.values())])
-                continue
-            parts = [_entries(r) for r in rows]
-            h, hot, c_h, w, c_w, doc, train = (np.concatenate(x) for x in zip(*parts))
-            sizes = [len(p[0]) for p in parts]
-            doc = doc.astype(np.int32)
+            parts = [unpack_entries(r["a"]) for r in rows]
+            sizes = [len(p[1]) for p in parts]
+            h = [np.concatenate([p[0][k] for p in parts]) for k in range(const.order - 1)]
+            w, c1, times = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
             del parts
-            order = np.lexsort((w, h, hot))
-            fresh = np.ones(len(order), dtype=bool)
-            a, b = order[1:], order[:-1]
-            fresh[1:] = (w[a] != w[b]) | (h[a] != h[b]) | (hot[a] != hot[b])
+            order = np.lexsort((w, *reversed(h)))
+            fresh = np.ones(len(w), dtype=bool)
+            fresh[1:] = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in (w, *h)])
+            place = np.empty(len(w), dtype=np.int64)
+            place[order] = np.cumsum(fresh) - 1
             lead = order[fresh]
-            pair = np.empty(len(order), dtype=np.int64)
-            pair[order] = np.cumsum(fresh) - 1
-            r_pair = np.bincount(pair, weights=train, minlength=len(lead)).astype(np.int64)
-            of, first, seen, discounted, mass, lower, total = shard_model(h[lead], hot[lead], c_h[lead].astype(np.int64), c_w[lead].astype(np.int64), r_pair, const)
-            is_hot = hot[lead][first]
-            denominator, alpha = weight(mass, lower, total)
-            # the denominator of a hot context shows only when all its parts have met; its sums go on as they are
-            denominator, alpha = np.where(is_hot, total, denominator), np.where(is_hot, 0.0, alpha)
-            with np.errstate(divide="ignore"):
-                value = np.where(seen, np.log10(discounted) - np.log10(np.maximum(denominator, 1))[of], alpha[of] + np.log10(const.p(c_w[lead])))
-            name = h[lead][first]
-            # a part of a hot context that has a discount settles the denominator: it is the count itself
-            settled = mass < np.bincount(of, weights=r_pair) * (1 - 1e-12)
-            later = is_hot[of] & ~(seen & settled[of])
-            out = [(-1, -1, name[is_hot].astype("<u8").tobytes(), np.stack([mass[is_hot], lower[is_hot]]).astype("<f8").tobytes(), total[is_hot].astype("<i8").tobytes(), [])]
-            k = 0
-            for r, n in zip(rows, sizes):
-                mine = pair[k : k + n]
-                docs, at = np.unique(doc[k : k + n], return_inverse=True)
-                sums = np.bincount(at, weights=value[mine])
-                # by document and hot context: how often the pair was unseen, or seen with an open denominator
-                hot_at = np.flatnonzero(later[mine])
-                key, times = np.unique(np.stack([at[hot_at], of[mine[hot_at]], seen[mine[hot_at]]]), axis=1, return_counts=True) if len(hot_at) else (np.zeros((3, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
-                hot_part = docs[key[0]].astype("<i4").tobytes() + name[key[1]].astype("<u8").tobytes() + key[2].astype("<i4").tobytes() + times.astype("<i4").tobytes()
-                out.append((bucket, r["slice"], docs.astype("<i4").tobytes(), sums.astype("<f8").tobytes(), hot_part, []))
+            r = np.zeros(len(lead), dtype=np.int64)
+            np.add.at(r, place, times)
+            h, w, c1 = [x[lead] for x in h], w[lead], c1[lead]
+            is_hot = bucket >= 1 << const.bits
+            stats, hot = [], []
+            for k, _, pair, first, part in _levels(h, w):
+                seen = np.bincount(pair, weights=r, minlength=len(first)).astype(np.int64)
+                if k == 2 and is_hot:  # only a part of their bigrams' counts
+                    hot = [{"h": a, "w": b, "c1": c, "r": n} for a, b, c, n in zip(h[0][first].tolist(), w[first].tolist(), c1[first].tolist(), seen.tolist())]
+                    seen = seen[:0]
+                else:
+                    seen = seen[part[first]]
+                stats += np.bincount(np.minimum(seen, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()
+            places, k = [], 0
+            for n in sizes:
+                places.append(squeeze(np.diff(place[k : k + n], prepend=0).astype("<i4")))
                 k += n
-            yield _batch(out)
+            asked = [(x["slice"], p) for x, p in zip(rows, places) if x["slice"] >= 0]
+            yield _batch([(bucket, pack_entries(h, w, c1, r), stats, [s for s, _ in asked], [p for _, p in asked], hot)], _SHARD)
 
     return run
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+def probabilities(h: list[np.ndarray], w: np.ndarray, c1: np.ndarray, r: np.ndarray, const: Constants, bigrams: np.ndarray | None = None) -> np.ndarray:
+    """p(w | h) of the sorted distinct n-grams of a shard; `bigrams` gives those of order 2 where the shard has only a part of them."""
+    p = const.p(c1)
+    for k, context, pair, lead, part in _levels(h, w):
+        if k == 2 and bigrams is not None:
+            p = bigrams[pair]
+            continue
+        seen = np.bincount(pair, weights=r, minlength=len(lead)).astype(np.int64)
+        of, d = context[lead], const.d[k - 2]
+        discounted = np.where(seen <= CUTOFF, d[np.minimum(seen, CUTOFF)], 1.0) * seen
+        mass, total = np.bincount(of, weights=discounted), np.bincount(of, weights=seen)
+        denominator, alpha = weight(mass, np.bincount(of, weights=np.where(seen > 0, p[lead], 0.0)), total)
+        value = np.where(seen > 0, discounted / denominator[of], np.where(total[of] > 0, alpha[of], 1.0) * p[lead])
+        p = np.where(part, value[pair], p)
+    return p
 
 
-def _sum(const: Constants, hot: dict[int, tuple[float, float]]):
-    """hot: (log10 of total / denominator, log10 alpha) of each hot context."""
+def _answer(const: Constants):
+    """For each slice the log10 probabilities of its n-grams: distinct values, and which of them."""
 
     def run(batches):
-        for _, rows in grouped(batches, "slice"):
-            own = next(r for r in rows if r["bucket"] < 0)
-            ids, nulls, held, n, known = np.frombuffer(own["a"], "<i8").reshape(5, -1)
-            score = np.zeros(len(ids))
-            for r in sorted(rows, key=lambda r: r["bucket"]):
-                if r["bucket"] < 0:
-                    continue
-                score[np.frombuffer(r["a"], "<i4")] += np.frombuffer(r["b"], "<f8")
-                m = len(r["c"]) // 20
-                doc, name = np.frombuffer(r["c"], "<i4", m), np.frombuffer(r["c"], "<u8", m, 4 * m)
-                seen, times = np.frombuffer(r["c"], "<i4", 2 * m, 12 * m).reshape(2, m)
-                extra = np.array([hot[x][0 if s else 1] for x, s in zip(name.tolist(), seen.tolist())])
-                np.add.at(score, doc, extra * times if m else extra)
-            yield _batch(list(zip([None if x else int(i) for i, x in zip(ids, nulls)], held.astype(bool).tolist(), n.tolist(), known.tolist(), [const.n] * len(ids), np.frombuffer(own["b"], "<f8").tolist(), score.tolist())), _OUT)
+        for batch in batches:
+            for row in batch.to_pylist():
+                h, w, c1, r = unpack_entries(row["grams"])
+                bigrams = None
+                if row["bigrams"] is not None:
+                    # by context and word, as `_levels` orders them
+                    found = sorted((x["h"], x["w"], x["p"]) for x in row["bigrams"])
+                    bigrams = np.array([x[2] for x in found])
+                value = np.log10(probabilities(h, w, c1, r, const, bigrams))
+                for s, places in zip(row["slices"], row["places"]):
+                    distinct, at = np.unique(value[np.cumsum(unsqueeze(places, "<i4"), dtype=np.int64)], return_inverse=True)
+                    yield _batch([(row["bucket"], s, squeeze(distinct.astype("<f8")), squeeze(at.astype("<u4")), b"", [])])
 
     return run
 
 
-def _stored_states(docs: DataFrame, bits: int) -> DataFrame:
-    counted = dealt(docs.mapInArrow(tidy(_send(bits, "doc_id")), _DDL), "bucket").mapInArrow(tidy(_count(bits)), _DDL)
-    return stored(dealt(counted, "slice", "bucket").mapInArrow(tidy(_states), _STATE_DDL), "states")
+_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_OUT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10."""
-    spark = session(docs.sparkSession)
+def _sum(const: Constants):
+    def run(batches):
+        for _, rows in grouped(batches, "slice"):
+            e = Entries(next(r for r in rows if r["bucket"] < 0), const)
+            answers = {r["bucket"]: r for r in rows if r["bucket"] >= 0}
+            value = np.empty(len(e.w) + 1)
+            for b, i, j in e.ranges:
+                value[e.order[i:j]] = unsqueeze(answers[b]["a"], "<f8")[unsqueeze(answers[b]["b"], "<u4")]
+            plain = np.log10(const.p(e.counts))
+            score = np.where(e.of_token < 0, plain, value[e.of_token])
+            doc = np.repeat(np.arange(len(e.ids)), np.diff(e.first))
+            add = lambda x: np.bincount(doc, weights=x, minlength=len(e.ids))  # noqa: B023, E731
+            columns = [pa.array(e.ids, mask=e.nulls), e.held, np.diff(e.first), add(e.counts > 0).astype(np.int64), np.full(len(e.ids), const.n), add(plain), add(score)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _OUT.types)], schema=_OUT)
+
+    return run
+
+
+def _hot_bigrams(shards: DataFrame, const: Constants) -> tuple[DataFrame, list[int]]:
+    """(h, w, c1, r) of the bigrams after hot words, added up over their shards; their counts of counts."""
+    rows = shards.where(F.size("hot") > 0).select(F.explode("hot").alias("x")).select("x.*")
+    found = stored(rows.groupBy("h", "w").agg(F.max("c1").alias("c1"), F.sum("r").alias("r")), "hot-bigrams")
+    counts = dict(found.where(F.col("r").between(1, CUTOFF + 1)).groupBy("r").count().collect())  # at most CUTOFF + 1 rows
+    return found, [counts.get(r, 0) for r in range(1, CUTOFF + 2)]
+
+
+def _with_bigrams(shards: DataFrame, found: DataFrame | None, const: Constants) -> DataFrame:
+    """`shards` with the order-2 probabilities of those that have only a part of their bigrams' counts."""
+    none = F.lit(None).cast("array<struct<h: long, w: long, p: double>>").alias("bigrams")
+    if found is None:
+        return shards.select("bucket", "grams", "slices", "places", none)
+    low = (F.col("c1") + 0.5) / F.lit(const.total)
+    d = F.element_at(F.array(*(F.lit(float(x)) for x in const.d[0])), F.least("r", F.lit(CUTOFF)).cast("int") + 1)
+    discounted = F.when(F.col("r") <= CUTOFF, d).otherwise(F.lit(1.0)) * F.col("r")
+    rows = found.select("h", "w", "r", low.alias("low"), discounted.alias("discounted"))
+    sums = rows.groupBy("h").agg(F.sum("discounted").alias("mass"), F.sum(F.when(F.col("r") > 0, F.col("low")).otherwise(0.0)).alias("lower"), F.sum("r").alias("total"))
+    denominator = F.when(F.col("mass") < F.col("total") * (1 - 1e-12), F.col("total")).otherwise(F.col("total") + 1)
+    sums = sums.where("total > 0").select("h", denominator.alias("denominator"), ((1 - F.col("mass") / denominator) / (1 - F.col("lower"))).alias("alpha"))
+    sums = F.broadcast(sums) if const.hot_words <= MOST_BROADCAST else sums
+    value = F.when(F.col("r") > 0, F.col("discounted") / F.col("denominator")).otherwise(F.coalesce("alpha", F.lit(1.0)) * F.col("low"))
+    value = rows.join(sums, "h", "left").select("h", "w", value.alias("p"))
+    parts = shards.where(F.size("hot") > 0)
+    asked = parts.select("bucket", F.explode("hot").alias("x")).select("bucket", "x.h", "x.w").join(value, ["h", "w"])
+    back = asked.groupBy("bucket").agg(F.collect_list(F.struct("h", "w", "p")).alias("bigrams"))  # no more than the shard has
+    plain = shards.where(F.size("hot") == 0).select("bucket", "grams", "slices", "places", none)
+    return plain.unionByName(parts.join(back, "bucket").select("bucket", "grams", "slices", "places", "bigrams"))
+
+
+@dataclass
+class Model:
+    """A trained model: `words` (by bucket) and `grams` (by shard) are tables in the shared folder."""
+
+    const: Constants
+    words: DataFrame
+    grams: DataFrame
+
+    def score(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """The columns of `score` for other documents; nothing is learned from them, whatever their ids."""
+        return _run(docs, key, text, self.const.order, self)[0]
+
+
+def _run(docs: DataFrame, key: str, text: str, order: int, model: Model | None) -> tuple[DataFrame, Model]:
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    session(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bits = bucket_bits(docs, per=SHARD_BYTES)
-    states = _stored_states(docs, bits)
-    sums = states.where("slice < 0").agg(*(F.sum(F.get("stats", F.lit(k))) for k in range(CUTOFF + 3))).first()
-    documents = states.where("slice >= 0").agg(F.sum(F.get("stats", F.lit(1)))).first()[0] or 0
-    n, v, *counts = (x or 0 for x in sums)
-    const = Constants(n, v, counts, documents)
-    asked = states.where("slice >= 0").mapInArrow(tidy(_ask(bits, const)), _DDL)
-    scored = stored(dealt(asked, "bucket").mapInArrow(tidy(_score(const)), _DDL), "partial-scores")
-    # at most 1 / HOT_SHARE hot contexts, in one small row per shard
-    parts: dict[int, list[float]] = {}
-    for r in scored.where("slice < 0").select("a", "b", "c").toLocalIterator():
-        mass, lower = np.frombuffer(r["b"], "<f8").reshape(2, -1)
-        for x, m, low, t in zip(np.frombuffer(r["a"], "<u8").tolist(), mass.tolist(), lower.tolist(), np.frombuffer(r["c"], "<i8").tolist()):
-            old = parts.setdefault(x, [0.0, 0.0, t])
-            old[0] += m
-            old[1] += low
-    hot = {}
-    for x, (mass, lower, total) in parts.items():
-        denominator, alpha = weight(np.array([mass]), np.array([lower]), np.array([float(total)]))
-        hot[x] = (float(np.log10(max(total, 1)) - np.log10(max(denominator[0], 1))), float(alpha[0]))
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt(scored.where("slice >= 0"), "slice").mapInArrow(tidy(_sum(const, hot)), out)
+    bits = model.const.bits if model else bucket_bits(docs, per=SHARD_BYTES, least=3)
+    sent = docs.mapInArrow(tidy(_send(bits, model is None)), _DDL)
+    if model:
+        sent = sent.unionByName(model.words)
+    counted = dealt(sent, "bucket").mapInArrow(tidy(_count(bits, HOT_TOKENS)), _DDL)
+    # the rows of the words' table are spread over the tasks by their bucket
+    counted = counted.withColumn("_task", F.when(F.col("slice") < 0, F.col("bucket")).otherwise(F.col("slice")))
+    kept = stored(counted.repartition("_task").sortWithinPartitions("slice", "bucket").drop("_task").mapInArrow(tidy(_states), _DDL), "katz-slices")
+    words, states = kept.where("slice < 0"), kept.where("slice >= 0")
+    if model:
+        const = model.const
+    else:
+        n, v, hot_words, hot = (x or 0 for x in words.agg(*(F.sum(F.get("stats", F.lit(k))) for k in range(4))).first())
+        documents = states.agg(F.sum(F.get("stats", F.lit(0)))).first()[0] or 0
+        hot += documents if documents >= HOT_TOKENS else 0
+        const = Constants(n, v, documents, bits, order, HOT_TOKENS, -(-hot * (1 << bits) // max(n, 1)), hot_words + 1)
+    asked = states.mapInArrow(tidy(_ask(const)), _DDL)
+    if model:
+        asked = asked.unionByName(model.grams)
+    shards = stored(dealt(asked, "bucket").mapInArrow(tidy(_gather(const)), _SHARD_DDL), "katz-shards")
+    found, hot_counts = _hot_bigrams(shards, const) if const.hot_shards else (None, [0] * (CUTOFF + 1))
+    if not model:
+        k = CUTOFF + 1
+        sums = [x or 0 for x in shards.agg(*(F.sum(F.get("stats", F.lit(i))) for i in range(k * (order - 1)))).first()]
+        sums[:k] = [a + b for a, b in zip(sums[:k], hot_counts)]
+        const.d = [discounts(sums[i : i + k]) for i in range(0, len(sums), k)]
+    answers = _with_bigrams(shards, found, const).mapInArrow(tidy(_answer(const)), _DDL)
+    out = dealt(answers.unionByName(states), "slice", "bucket").mapInArrow(tidy(_sum(const)), _OUT_DDL)
+    empty, no = F.lit(b""), F.array().cast("array<long>")
+    grams = shards.select("bucket", F.lit(-1).cast("long").alias("slice"), F.col("grams").alias("a"), empty.alias("b"), empty.alias("c"), no.alias("stats"))
+    return out, model or Model(const, words, grams)
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> Model:
+    """The model of the training documents of `docs`."""
+    return _run(docs, key, text, order, None)[1]
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10."""
+    return _run(docs, key, text, order, None)[0]

@@ -280,33 +280,121 @@ def test_decontamination(spark, docs, texts, empty):
 # --- op8
 
 
-def test_katz(docs, texts, empty):
-    rows = [(k, [*words_of(t, True), "END"], zlib.crc32(str(k).encode()) % 5 == 1) for k, t in enumerate(texts)]
-    uni, bi = Counter(), defaultdict(Counter)
+def direct_katz(rows, order):
+    """log10 p of each row (id, tokens, held) and the probability function, computed directly from dictionaries."""
+    counts = {k: defaultdict(Counter) for k in range(1, order + 1)}
     for _, w, held in rows:
         if not held:
-            uni.update(w)
-            for a, b in zip(["START", *w], w):
-                bi[a][b] += 1
+            padded = ["START", *w]
+            for i in range(1, len(padded)):
+                for k in range(1, min(order, i + 1) + 1):
+                    counts[k][tuple(padded[i - k + 1 : i])][padded[i]] += 1
+    uni = counts[1][()]
     n, v = sum(uni.values()), len(uni)
-    seen = Counter(r for c in bi.values() for r in c.values())
-    d = katz.discounts([seen[r] for r in range(1, katz.CUTOFF + 2)])
-    p = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
-    prob = {}
-    for h, c in bi.items():
-        total, mass = sum(c.values()), sum((d[r] if r <= katz.CUTOFF else 1) * r for r in c.values())
-        total += mass >= total * (1 - 1e-12)
-        alpha = (1 - mass / total) / (1 - sum(map(p, c)))
-        prob[h] = lambda w, c=c, total=total, alpha=alpha: (d[c[w]] if c[w] <= katz.CUTOFF else 1) * c[w] / total if c[w] else alpha * p(w)
-        # the probabilities of all words and the unknown one are 1
-        assert sum(map(prob[h], uni)) + alpha * 0.5 / (n + 0.5 * (v + 1)) == pytest.approx(1)
-    got = by_id(katz.score(docs), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    d = {}
+    for k in range(2, order + 1):
+        seen = Counter(r for c in counts[k].values() for r in c.values())
+        d[k] = katz.discounts([seen[r] for r in range(1, katz.CUTOFF + 2)])
+    cached = {}
+
+    def context(h):
+        if h not in cached:
+            k = len(h) + 1
+            c = counts[k][h]
+            total, mass = sum(c.values()), sum((d[k][r] if r <= katz.CUTOFF else 1) * r for r in c.values())
+            total += mass >= total * (1 - 1e-12)
+            cached[h] = c, total, (1 - mass / total) / (1 - sum(p(w, h[1:]) for w in c))
+        return cached[h]
+
+    def p(w, h):
+        if not h:
+            return (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+        if h not in counts[len(h) + 1]:
+            return p(w, h[1:])
+        c, total, alpha = context(h)
+        r = c[w]
+        return (d[len(h) + 1][r] if r <= katz.CUTOFF else 1) * r / total if r else alpha * p(w, h[1:])
+
+    scores = {}
+    for k, w, _ in rows:
+        padded = ["START", *w]
+        scores[k] = sum(math.log10(p(padded[i], tuple(padded[max(0, i - order + 1) : i]))) for i in range(1, len(padded)))
+    return scores, p, counts, n
+
+
+def katz_rows(texts):
+    return [(k, [*words_of(t, True), "END"], zlib.crc32(str(k).encode()) % 5 == 1) for k, t in enumerate(texts)]
+
+
+def same_scores(got, rows, scores, counts, n):
+    uni = counts[1][()]
     assert len(got) == len(rows)
     for k, w, held in rows:
         assert got[k][:4] == (held, len(w), sum(x in uni for x in w), n)
-        assert got[k][4] == pytest.approx(sum(math.log10(p(x)) for x in w))
-        assert got[k][5] == pytest.approx(sum(math.log10(prob.get(a, p)(x)) for a, x in zip(["START", *w], w)))
-    assert katz.score(empty).count() == 0
+        assert got[k][4] == pytest.approx(sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (len(uni) + 1))) for x in w))
+        assert got[k][5] == pytest.approx(scores[k])
+
+
+COLUMNS = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(docs, texts, empty, order):
+    rows = katz_rows(texts)
+    scores, p, counts, n = direct_katz(rows, order)
+    # the probabilities of all words and the unknown one are 1 after every context
+    for k in range(2, order + 1):
+        for h in list(counts[k])[:400]:
+            assert sum(p(w, h) for w in counts[1][()]) + p("never seen", h) == pytest.approx(1)
+    same_scores(by_id(katz.score(docs, order=order), *COLUMNS), rows, scores, counts, n)
+    assert katz.score(empty, order=order).count() == 0
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_hot_words(docs, texts, monkeypatch, order):
+    """Words that are split over shards score as others do."""
+    monkeypatch.setattr(katz, "HOT_TOKENS", 40)
+    rows = katz_rows(texts)
+    scores, _, counts, n = direct_katz(rows, order)
+    same_scores(by_id(katz.score(docs, order=order), *COLUMNS), rows, scores, counts, n)
+
+
+@pytest.mark.parametrize("hot", [40, 10**9])
+def test_katz_model(spark, docs, texts, monkeypatch, hot):
+    """A model's tables score other documents, and the same ones alike."""
+    monkeypatch.setattr(katz, "HOT_TOKENS", hot)
+    model = katz.fit(docs)
+    rows = katz_rows(texts)
+    scores, p, _, n = direct_katz(rows, 3)
+    again = by_id(model.score(docs), "train_tokens", "score")
+    assert all(again[k] == (n, pytest.approx(scores[k])) for k in scores)
+    new = ["w1 w2 w3 something new", "", None, "W1 w2"]
+    got = by_id(model.score(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")), "score")
+    for k, t in enumerate(new):
+        w = ["START", *words_of(t, True), "END"]
+        assert got[k][0] == pytest.approx(sum(math.log10(p(w[i], tuple(w[max(0, i - 2) : i]))) for i in range(1, len(w))))
+
+
+def test_katz_messages_follow_the_data(texts):
+    """A slice sends no more rows than it has words or n-grams, however many buckets there are."""
+    from pyspark import TaskContext
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array([t or "" for t in texts])})
+    TaskContext.get, saved = staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})()), TaskContext.get
+    try:
+        sizes = {}
+        for bits in (5, 16, 40):
+            sent = [r for b in katz._send(bits, True)(iter([batch])) for r in b.to_pylist()]
+            counted = [r for b in katz._count(bits, 1 << 40)(iter([pa.RecordBatch.from_pylist(sorted(sent, key=lambda r: r["bucket"]), katz._ROW)])) for r in b.to_pylist()]
+            state = [r for b in katz._states(iter([pa.RecordBatch.from_pylist(sorted(counted, key=lambda r: r["slice"]), katz._ROW)])) for r in b.to_pylist() if r["slice"] >= 0]
+            const = katz.Constants(1, 1, 1, bits, 3, 1 << 40, 0, 0)
+            asked = [r for b in katz._ask(const)(iter([pa.RecordBatch.from_pylist(state, katz._ROW)])) for r in b.to_pylist()]
+            words = len({w for t in texts for w in words_of(t, True)}) + 1
+            sizes[bits] = len(asked), sum(len(r["a"]) for r in asked)
+            assert len(sent) <= words + 1 and len(asked) <= words + 1
+        assert sizes[40][1] < 4 * sizes[5][1]
+    finally:
+        TaskContext.get = saved
 
 
 def test_plain_names():
