@@ -48,7 +48,7 @@ ORDER = 3
 CUTOFF = 5
 #: Training tokens of a word from which on its n-grams are split over shards.
 HOT_TOKENS = 2_000_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 SHARD_BYTES = 16 << 20
 FOLDS, HELD_OUT = 5, 1
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -295,6 +295,13 @@ _SHARD = pa.schema([("bucket", pa.int64()), ("grams", pa.binary()), ("stats", pa
 _SHARD_DDL = "bucket long, grams binary, stats array<long>, slices array<long>, places array<binary>, hot array<struct<h long, w long, c1 long, r long>>"
 
 
+def _one_list(kind: pa.ListType, columns: list[np.ndarray]) -> pa.ListArray:
+    """One row with a list of structs, from their columns."""
+    fields = [kind.value_type.field(k) for k in range(kind.value_type.num_fields)]
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values).cast(kind)
+
+
 def _gather(const: Constants):
     """One row per shard: its n-grams with their training counts, counts of counts by order, places of each slice's n-grams."""
 
@@ -319,7 +326,7 @@ def _gather(const: Constants):
             for k, _, pair, first, part in _levels(h, w):
                 seen = np.bincount(pair, weights=r, minlength=len(first)).astype(np.int64)
                 if k == 2 and is_hot:  # only a part of their bigrams' counts
-                    hot = [{"h": a, "w": b, "c1": c, "r": n} for a, b, c, n in zip(h[0][first].tolist(), w[first].tolist(), c1[first].tolist(), seen.tolist())]
+                    hot = [h[0][first], w[first], c1[first], seen]
                     seen = seen[:0]
                 else:
                     seen = seen[part[first]]
@@ -329,7 +336,8 @@ def _gather(const: Constants):
                 places.append(squeeze(np.diff(place[k : k + n], prepend=0).astype("<i4")))
                 k += n
             asked = [(x["slice"], p) for x, p in zip(rows, places) if x["slice"] >= 0]
-            yield _batch([(bucket, pack_entries(h, w, c1, r), stats, [s for s, _ in asked], [p for _, p in asked], hot)], _SHARD)
+            plain = _batch([(bucket, pack_entries(h, w, c1, r), stats, [s for s, _ in asked], [p for _, p in asked], [])], _SHARD)
+            yield plain.set_column(5, _SHARD.field(5), _one_list(_SHARD.field(5).type, hot)) if hot else plain
 
     return run
 
@@ -356,13 +364,13 @@ def _answer(const: Constants):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k, row in enumerate(batch.drop_columns(["bigrams"]).to_pylist()):
                 h, w, c1, r = unpack_entries(row["grams"])
-                bigrams = None
-                if row["bigrams"] is not None:
+                bigrams, found = None, batch.column("bigrams")[k]
+                if found.is_valid:
                     # by context and word, as `_levels` orders them
-                    found = sorted((x["h"], x["w"], x["p"]) for x in row["bigrams"])
-                    bigrams = np.array([x[2] for x in found])
+                    hs, ws, ps = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                    bigrams = ps[np.lexsort((ws, hs))]
                 value = np.log10(probabilities(h, w, c1, r, const, bigrams))
                 for s, places in zip(row["slices"], row["places"]):
                     distinct, at = np.unique(value[np.cumsum(unsqueeze(places, "<i4"), dtype=np.int64)], return_inverse=True)
