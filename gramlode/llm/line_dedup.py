@@ -8,7 +8,8 @@ line number stays; all its other occurrences go.
 Every pair within that bound is compared. An edit changes at most GRAM of a line's runs of GRAM words, so with k
 edits all but GRAM k runs of the longer line are in both. In any fixed order of the runs the first GRAM k + 1 of each
 line then have one in common: these are the join keys, and long words, which are rare, come first in the order. Keys
-travel with their line's hash only, and those of a single line go no further.
+travel with their line's hash only, and those of a single line go no further. Lines that meet are compared if their
+lengths allow it, and so do their parities.
 
 Blocks of SimHash bits are not the keys, because they lose most such pairs: two lines of 10 to 40 words that differ in
 one word agree within 3 of 63 bits in 1 to 19 of 100 cases. `fingerprints` gives the SimHash of lines; links don't
@@ -32,8 +33,8 @@ from .common import let, lookup, session, stored
 BITS_APART, LEAST_BALANCED = 63, 0
 #: A line of fewer words can't be within a tenth of its words of another.
 LEAST_WORDS = 8
-#: Words of a run, and bits of a key that hold its hash.
-GRAM, HASH_BITS = 3, 55
+#: Words of a run, bits of a key that hold its hash, and bits of a parity.
+GRAM, HASH_BITS, PARITY_BITS = 3, 55, 63
 #: Characters that words become for the edit distance: all from U+10000 on.
 CODES, FIRST_CODE = 1 << 20, 0x10000
 #: 63 bits as 9 longs of 7 counters; a counter of 9 bits takes up to CHUNK words, a quarter more for comparisons.
@@ -112,28 +113,33 @@ def gram_keys(words: Column) -> Column:
     runs = F.transform(F.sequence(F.lit(0), n - GRAM), ordered)
     # a longer line may allow one edit more; it is at least 10 - n % 10 words longer then, and has as many runs more
     more = F.greatest(F.lit(0), n % 10 + (GRAM - 10))
-    return F.array_distinct(F.slice(F.sort_array(runs), 1, F.expr("n div 10") * GRAM + 1 + more))
+    return F.slice(F.sort_array(runs), 1, F.expr("n div 10") * GRAM + 1 + more)
+
+
+def parity(words: Column) -> Column:
+    """63 bits, of which each word flips one: k edits change at most 2 k of them."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(PARITY_BITS)).cast("int"))))
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, removed): line numbers that go, for every row key with any."""
     session(docs.sparkSession)
     whole = lines(docs, key, text).select("doc_id", "row", "pos", "words", F.size("words").alias("n"), F.xxhash64("words").alias("h"))
-    found = stored(whole.where("n > 0").select("doc_id", "row", "pos", "h", "n"), "lines")
-    classes = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first"), F.first("n").alias("n"), F.count("*").alias("count")), "line-classes")
+    found = stored(whole.where("n > 0").select("doc_id", "row", "pos", "h", "n", parity(F.col("words")).alias("parity")), "lines")
+    classes = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.count("*").alias("count")), "line-classes")
     # keys leave with nothing but the class; most are in one class only and go no further
     fuzzy = whole.where(F.col("n") >= LEAST_WORDS).select("h", gram_keys(F.col("words")).alias("keys"))
     spread = fuzzy.groupBy("h").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "h").repartition("key")
-    shared = spread.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    met = stored(spread.join(shared, "key"), "shared-keys")
+    shared = spread.groupBy("key").agg(F.min("h").alias("_lo"), F.max("h").alias("_hi")).where("_lo < _hi").select("key")
+    met = stored(spread.join(shared, "key").dropDuplicates(["key", "h"]), "shared-keys")
     near = stored(classes.join(met.select("h").distinct(), "h", "left_semi"), "near-classes")
     # the most frequent class of a bucket leads: of many variants it is the one that they vary
-    keys = met.join(near, "h").select("key", F.col("h").alias("id"), (-F.col("count")).alias("rank"), "n")
+    keys = met.join(near, "h").select("key", F.col("h").alias("id"), (-F.col("count")).alias("rank"), "n", "parity")
 
     def admit(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
         edits = F.floor(F.greatest(n, m) / 10)
-        return F.abs(n - m) <= edits
+        return (F.abs(n - m) <= edits) & (F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= 2 * edits)
 
     def verifier(ids: DataFrame):
         at = near.join(ids, near["h"] == ids["id"]).groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("at"))
@@ -148,7 +154,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
         return verify
 
-    linked = linkage.link(keys, verifier, admit, ["rank", "n"])
+    linked = linkage.link(keys, verifier, admit, ["rank", "n", "parity"])
     grouped = classes.join(linked.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     grouped = stored(grouped.select("h", "component", "first", "count"), "line-groups")
     keep = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("count").alias("rows")).where("rows > 1").select("component", "keep")
