@@ -11,6 +11,8 @@ from gramlode.workers import reachable
 
 #: Bytes of samples whose grams a task holds at a time.
 PART_BYTES = 4 << 20
+#: Share of the samples, and most postings of them, that say where the ranges of a sorted write begin.
+BOUNDS_SHARE, BOUNDS_ROWS = 0.01, 200_000
 _OUT = pa.schema([("ngram", pa.int64()), ("fid", pa.int64())])
 
 
@@ -69,3 +71,32 @@ def grouped_postings(found: DataFrame, width: int) -> DataFrame:
     table = F.array(*(F.lit(p).cast("long") for p in primes))
     p = F.get(table, F.col("ngram").bitwiseAND(F.lit(255)).cast("int") % F.lit(len(primes)))
     return found.select("ngram", F.pmod("fid", p).alias("gid")).distinct()
+
+
+def bounds(samples: DataFrame, partitions: int, omit_zero: bool = False) -> list[tuple[int, int]]:
+    """Where each but the first of `partitions` ranges of (ngram, fid) begins, from a bounded sample of the postings.
+
+    The ranges only balance the tasks; what is in the postings doesn't depend on them.
+    """
+    some = postings(samples.sample(BOUNDS_SHARE, 1), omit_zero).limit(BOUNDS_ROWS)
+    rows = sorted((r[0], r[1]) for r in some.collect())
+    return sorted({rows[len(rows) * k // partitions] for k in range(1, partitions)}) if rows else [((k << 32) // partitions, 0) for k in range(1, partitions)]
+
+
+def ranged_postings(samples: DataFrame, partitions: int, omit_zero: bool = False) -> DataFrame:
+    """`postings` in ranges of (ngram, fid), a task each, with one extraction: a range partitioner would run it twice."""
+    starts = bounds(samples, partitions, omit_zero)
+    grams = np.array([g for g, _ in starts], dtype=np.int64)
+    fids = np.array([f for _, f in starts], dtype=np.int64)
+
+    def run(batches):
+        for batch in batches:
+            g, f = (batch.column(k).to_numpy() for k in range(2))
+            low, high = np.searchsorted(grams, g, side="left"), np.searchsorted(grams, g, side="right")
+            part = low.copy()
+            for k in np.flatnonzero(high > low):  # a gram that begins a range: its ids decide
+                part[k] = low[k] + np.searchsorted(fids[low[k] : high[k]], f[k], side="right")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part, pa.int32())], names=["ngram", "fid", "_part"])
+
+    marked = postings(samples, omit_zero).mapInArrow(run, "ngram long, fid long, _part int")
+    return marked.repartitionById(len(starts) + 1, F.col("_part")).drop("_part")

@@ -11,6 +11,8 @@ from gramlode.functions.encoding import gram_key, grams, query_primes
 
 #: Up to so many grams are listed in the filter; more are a join behind a range filter.
 LISTED = 2000
+#: The same for ranges of grams.
+LISTED_RANGES = 200
 #: The largest number of query grams that is broadcast (16 bytes each).
 BROADCAST = 1 << 20
 
@@ -74,14 +76,20 @@ def all_of_trigrams(postings: DataFrame, wanted: Grams) -> DataFrame | None:
     keys = keys_of(wanted, 3)
     if not keys:
         return None
+    each = reading_trigrams(postings, keys)
+    return each.groupBy("fid").agg(F.count("*").alias("n")).where(F.col("n") == len(keys)).select("fid")
+
+
+def reading_trigrams(postings: DataFrame, keys: set[int]) -> DataFrame:
+    """(third, fid) of some 3-grams, once for each sample."""
     third = F.shiftright("ngram", 8)
-    if len(keys) <= 200:
+    if len(keys) <= LISTED_RANGES:
         found = postings.where(_ranges(keys))
     else:
-        table = F.broadcast(postings.sparkSession.createDataFrame([(k,) for k in sorted(keys)], "third long"))
+        table = postings.sparkSession.createDataFrame([(k,) for k in sorted(keys)], "third long")
+        table = F.broadcast(table) if len(keys) <= BROADCAST else table
         found = postings.where(F.col("ngram").between(min(keys) << 8, max(keys) << 8 | 255)).join(table, third == F.col("third"), "left_semi")
-    each = found.select("fid", third.alias("third")).distinct()
-    return each.groupBy("fid").agg(F.count("*").alias("n")).where(F.col("n") == len(keys)).select("fid")
+    return found.select(third.alias("third"), "fid").distinct()
 
 
 def grouped_all_of(postings: DataFrame, wanted: Grams, numsamples: int, width: int, tau: int | None = None) -> DataFrame | None:
@@ -101,16 +109,20 @@ def grouped_all_of(postings: DataFrame, wanted: Grams, numsamples: int, width: i
         return exact
     if any(k not in n for k in folded):
         return postings.select("fid").limit(0)
-    rarest = min(folded, key=lambda k: (n[k], k))
-    p = primes[rarest & 255]
-    least = reading(postings, {rarest}).select(F.pmod("fid", F.lit(p)).alias("gid")).distinct().where(F.col("gid") < numsamples)
-    found = least.select(F.explode(F.sequence("gid", F.lit(numsamples - 1).cast("long"), F.lit(p).cast("long"))).alias("fid"))
+    # ids of the rarest gram's remainders; then each gram keeps those that have one of its remainders
+    order = sorted(folded, key=lambda k: (n[k], k))
+    p = primes[order[0] & 255]
+    found = _remainders(postings, order[0], p).where(F.col("gid") < numsamples)
+    found = found.select(F.explode(F.sequence("gid", F.lit(numsamples - 1).cast("long"), F.lit(p).cast("long"))).alias("fid"))
     if exact is not None:
         found = found.join(exact, "fid", "left_semi")
-    others = sorted(folded - {rarest})
-    if not others:
-        return found
-    prime_of = F.get(F.array(*(F.lit(x).cast("long") for x in primes)), F.col("ngram").bitwiseAND(F.lit(255)).cast("int"))
-    rests = reading(postings, set(others)).select("ngram", F.pmod("fid", prime_of).alias("gid")).distinct()
-    asked = found.select("fid", F.explode(F.array(*(F.lit(k).cast("long") for k in others))).alias("ngram")).withColumn("gid", F.pmod("fid", prime_of))
-    return asked.join(rests, ["ngram", "gid"], "left_semi").groupBy("fid").agg(F.count("*").alias("n")).where(F.col("n") == len(others)).select("fid")
+    for gram in order[1:]:
+        p = primes[gram & 255]
+        rest = _remainders(postings, gram, p)
+        # at most p of them
+        found = found.join(F.broadcast(rest) if p <= BROADCAST else rest, F.pmod("fid", F.lit(p)) == F.col("gid"), "left_semi")
+    return found
+
+
+def _remainders(postings: DataFrame, gram: int, p: int) -> DataFrame:
+    return reading(postings, {gram}).select(F.pmod("fid", F.lit(p)).alias("gid")).distinct()

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 import struct
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gramlode.functions.encoding import widen
 from gramlode.operators.index import Index
-from gramlode.workers import reachable
+from gramlode.workers import reachable, written
 
-from .execute import candidates
+from . import modules
+from .execute import pruned
 from .patterns import WORD, parse_regex, to_re
 from .planner import Planner
 from .rules import Node, Rule, RuleError, String, parse
@@ -146,6 +149,8 @@ class Matcher:
                 return self.variables[args[0]]
             if args[0] in self.others:
                 return Matcher(self.others[args[0]], self.data, self.others).holds()
+            if modules.known(args[0]):
+                return modules.value(args[0], self.data)
             raise Unsupported(f"{self.rule.name}: {args[0]}")
         if kind == "call":
             return self.call(*args)
@@ -182,6 +187,8 @@ class Matcher:
 
     def call(self, function: Node, *arguments: Node):
         name = function.args[0] if function.kind == "id" else ""
+        if name == "pe.exports" and len(arguments) == 1 and arguments[0].kind == "text":
+            return modules.exports(arguments[0].args[0], self.data)
         big = name.endswith("be")
         if name.removesuffix("be") not in _READ or len(arguments) != 1:
             raise Unsupported(f"{self.rule.name}: {name or function.kind}()")
@@ -212,24 +219,101 @@ class Matcher:
         return numbers[mark]()
 
 
-def _verify(rules: dict[str, Rule]):
+def unsupported(rules: dict[str, Rule]) -> dict[str, str]:
+    """Rules that this matcher can't evaluate, with the reason; a rule that uses one of them, or beside a global one, too."""
+
+    def reason(rule: Rule, seen: tuple[str, ...] = ()) -> str | None:
+        for s in rule.strings.values():
+            if s.modifiers & _MODIFIERS:
+                return f"{s.name}: xor and base64 strings"
+
+        def walk(node, names: frozenset) -> str | None:
+            if isinstance(node, tuple):
+                return next((r for x in node if (r := walk(x, names))), None)
+            if not isinstance(node, Node):
+                return None
+            kind, args = node.kind, node.args
+            if kind == "forin":
+                if len(args[1]) != 1 or args[2].kind not in ("range", "set"):
+                    return "a loop over more than numbers"
+                return walk(args[0], names) or walk(args[2], names) or walk(args[3], names | set(args[1]))
+            if kind == "call":
+                name = args[0].args[0] if args[0].kind == "id" else args[0].kind
+                if name == "pe.exports" and len(args) == 2 and args[1].kind == "text" or name.removesuffix("be") in _READ and len(args) == 2:
+                    return walk(args[1:], names)
+                return f"{name}()"
+            if kind == "id":
+                if args[0] in names or modules.known(args[0]):
+                    return None
+                if args[0] in rules:
+                    return None if args[0] in seen else reason(rules[args[0]], (*seen, args[0]))
+                return args[0]
+            return kind if kind in ("index", "member", "entrypoint") else walk(args, names)
+
+        return walk(rule.condition, frozenset())
+
+    own = {name: r for name, rule in rules.items() if (r := reason(rule, (name,)))}
+    shared = next((f"global rule {name}: {r}" for name, r in own.items() if rules[name].is_global), None)
+    return {name: own.get(name, shared) for name in rules if name in own or shared}
+
+
+def _verify(rules: dict[str, Rule], skip: frozenset):
+    general = [r for r in rules.values() if r.is_global]
+
     def run(batches):
         for batch in batches:
-            keep = [Matcher(rules[name], data or b"", rules).holds() for name, data in zip(batch.column("rule").to_pylist(), batch.column("content").to_pylist())]
-            yield batch.select(["rule", "fid", "path"]).filter(pa.array(keep, pa.bool_()))
+            out = []
+            for fid, path, data, names in zip(*(batch.column(c).to_pylist() for c in ("fid", "path", "content", "rules"))):
+                data = data or b""
+                if any(not Matcher(g, data, rules).holds() for g in general if g.name not in skip):
+                    continue
+                out += [(name, fid, path, name not in skip) for name in names if name in skip or Matcher(rules[name], data, rules).holds()]
+            columns = zip(*out) if out else ((), (), (), ())
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["rule", "fid", "path", "verified"])
 
     return run
 
 
+#: Samples with candidates whose ids and rules are broadcast; more of them are shuffled with the contents.
+BROADCAST_SAMPLES = 200_000
+
+
+def _judge(found: DataFrame | None, whole: list[str], samples: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """(rule, fid, path, verified). Each sample is read once for all its rules; rules in `whole` are tried on all samples."""
+    spark = reachable(samples.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    rows = samples.select("fid", "path", "content")
+    if found is None:
+        rows = rows.withColumn("rules", F.array(*map(F.lit, whole)).cast("array<string>")) if whole else rows.withColumn("rules", F.array().cast("array<string>")).limit(0)
+    else:
+        by = written(found.groupBy("fid").agg(F.collect_set("rule").alias("rules")), "candidates")  # no more entries than there are rules
+        by = F.broadcast(by) if by.count() <= BROADCAST_SAMPLES else by
+        rows = rows.join(by, "fid", "left" if whole else "inner")
+        if whole:
+            rows = rows.withColumn("rules", F.concat(F.coalesce("rules", F.array().cast("array<string>")), F.array(*map(F.lit, whole))))
+    return rows.mapInArrow(_verify(rules, frozenset(unsupported(rules))), "rule string, fid long, path string, verified boolean")
+
+
+def _verified(judged: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    for name, why in unsupported(rules).items():
+        warnings.warn(f"rule {name} is not evaluated ({why}); `report` gives its candidates", stacklevel=3)
+    return judged.where("verified").drop("verified")
+
+
 def verify(found: DataFrame, samples: DataFrame, rules: dict[str, Rule] | str) -> DataFrame:
-    """(rule, fid, path) of the candidates (rule, fid) whose samples match the rule."""
+    """(rule, fid, path) of the candidates (rule, fid) whose samples match the rule. Rules that can't be evaluated are left out, with a warning."""
+    rules = parse(rules) if isinstance(rules, str) else rules
+    return _verified(_judge(found.select("rule", "fid"), [], samples, rules), rules)
+
+
+def report(index: Index, samples: DataFrame, rules: dict[str, Rule] | str, **options) -> DataFrame:
+    """(rule, fid, path, verified): all matches, and the candidates of rules that can't be evaluated, as not verified."""
     rules = parse(rules) if isinstance(rules, str) else rules
-    reachable(found.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    rows = found.select("rule", "fid").join(samples.select("fid", "path", "content"), "fid").select("rule", "fid", "path", "content")
-    return rows.mapInArrow(_verify(rules), "rule string, fid long, path string")
+    return _judge(*pruned(index, rules, **options), samples, rules)
 
 
-def scan(index: Index, samples: DataFrame, rules: dict[str, Rule] | str) -> DataFrame:
-    """(rule, fid, path) of all matches: candidates from the index, then verification."""
+def scan(index: Index, samples: DataFrame, rules: dict[str, Rule] | str, **options) -> DataFrame:
+    """(rule, fid, path) of all matches: candidates from the index, then verification. The options are those of `candidates`."""
     rules = parse(rules) if isinstance(rules, str) else rules
-    return verify(candidates(index, rules), samples, rules)
+    return _verified(report(index, samples, rules, **options), rules)

@@ -6,7 +6,6 @@ is built once for each table, folder and session and lies in the session's share
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +13,13 @@ from pyspark.sql import functions as F
 
 from gramlode.functions.encoding import build_primes, case_variants, gram_key, grams, query_primes, widen
 from gramlode.operators.extract import grouped_postings, postings
-from gramlode.operators.index import Index, MergedIndex
+from gramlode.operators.index import Index, MergedIndex, merge
 from gramlode.plans.execute import candidates
 from gramlode.plans.rules import parse
 from gramlode.plans.verify import scan
-from gramlode.sources.samples import from_table
-from gramlode.workers import reachable
+from gramlode.sources.samples import from_table, path_list, with_fids
+from gramlode.streaming.append import append_batch, open_parts
+from gramlode.workers import reachable, shared_folder
 
 TABLES = {"documents": ("doc_id", "text", None), "pages": ("page_id", "html", "url")}
 _INDEXES: dict[tuple, Index] = {}
@@ -34,12 +34,15 @@ def samples(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataF
     return from_table(reachable(spark).read.parquet(f"{sf_dir}/{table}.parquet"), *TABLES[table])
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def index(spark: SparkSession, sf_dir: str, table: str = "documents") -> Index:
     key = (spark.sparkContext.applicationId, sf_dir, table)
     if key not in _INDEXES:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gramlode-")
         rows = samples(spark, sf_dir, table).repartition(spark.sparkContext.defaultParallelism)
-        _INDEXES[key] = Index.build(rows, f"{shared.rstrip('/')}/index-{table}-{uuid.uuid4().hex}")
+        _INDEXES[key] = Index.build(rows, _folder(spark, f"index-{table}"))
     return _INDEXES[key]
 
 
@@ -107,6 +110,34 @@ def merged_match(spark, sf_dir):
     return _both(spark, sf_dir).get_posting_list(PHRASE)
 
 
+def merged_fid_to_path(spark, sf_dir):
+    """Over a merge that is written."""
+    whole = merge([index(spark, sf_dir), index(spark, sf_dir, "pages")], _folder(spark, "merged"))
+    return whole.fid2path(whole.get_posting_list(WORD))
+
+
+def numbered_samples(spark, sf_dir):
+    """Ids in the order of the paths."""
+    return with_fids(samples(spark, sf_dir).select("path"), "path").select("fid", "path")
+
+
+def listed_paths(spark, sf_dir):
+    """The lines of a text file of URLs, numbered."""
+    folder = _folder(spark, "list")
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    rows.coalesce(1).sortWithinPartitions("page_id").select("url").write.text(folder)  # a path list is one file
+    return path_list(spark, folder)
+
+
+def streamed_index(spark, sf_dir):
+    """The paths of a lookup in an index that two micro-batches have made."""
+    folder = _folder(spark, "parts")
+    for number, name in enumerate(("documents", "pages")):
+        append_batch(folder)(samples(spark, sf_dir, name).select("path", "content"), number)
+    parts = open_parts(spark, folder, 2)
+    return parts.fid2path(parts.get_posting_list(PHRASE))
+
+
 # --- rules
 
 NOCASE = 'rule r { strings: $a = "Licensed Under" nocase condition: $a }'
@@ -118,6 +149,17 @@ AND = 'rule r { strings: $a = "thanedble" $b = "tion" condition: $a and $b }'
 OR = 'rule r { strings: $a = "thanedble" $b = "licensed" condition: $a or $b }'
 NOT = 'rule r { strings: $a = "thanedble" $b = "licensed" condition: $a and not $b }'
 UNIVERSE = 'rule r { strings: $a = "thanedble" condition: not $a }'
+SHORT = 'rule r { strings: $a = "BY-" condition: $a }'
+CONTAINS = 'rule r { condition: pe.version_info["x"] contains "Licensed" }'
+WILDCARD = 'rule r { strings: $a1 = "thanedble" $a2 = "licensed" $b = "token = " condition: any of ($a*) }'
+LOOP = 'rule r { strings: $a = "thanedble" condition: for all i in (1..2) : ($a at i) }'
+OFFSETS = 'rule r { strings: $a = "thanedble" $b = "tion" condition: @a < @b }'
+MACHINE = 'rule r { strings: $a = "thanedble" condition: $a and (pe.machine == pe.MACHINE_I386 or filesize > 3 * 2 + 1) }'
+EXPORTS = 'rule r { condition: pe.exports("thanedble") }'
+CONSTANT = 'rule r { strings: $a = "thanedble" $b = "ab" condition: ($a and true) or ($a and $b) or false }'
+RELAXED = 'rule r { strings: $a = "thanedble" $b = "licensed" $c = "ab" condition: 2 of them }'
+EACH = 'rule r { strings: $a = "thanedble" $b = "licensed" condition: $a and for any of them : ($ at 0) }'
+GLOBAL = 'global rule g { strings: $x = "licensed" condition: not $x } rule r { strings: $a = "thanedble" condition: $a }'
 BATCH = f"""
 rule phrase {{ strings: $a = "thanedble" condition: $a }}
 rule token {{ strings: $a = /token = "[0-9a-f]{{40}}"/ $b = "@mail" condition: $a or $b }}
@@ -144,6 +186,22 @@ def rule_candidates_not(spark, sf_dir):
     return candidates(index(spark, sf_dir), NOT)
 
 
+def short_string_rule(spark, sf_dir):
+    return candidates(index(spark, sf_dir), SHORT, lower_bound=3).select("fid")
+
+
+def folded_rule(spark, sf_dir):
+    return candidates(index(spark, sf_dir), AND.replace('"tion"', '"licensed"'), groupwidth=WIDTH, tau=TAU).select("fid")
+
+
+def loose_nocase_rule(spark, sf_dir):
+    return candidates(index(spark, sf_dir), NOCASE, compat=True).select("fid")
+
+
+def global_rule(spark, sf_dir):
+    return scan(index(spark, sf_dir), samples(spark, sf_dir), GLOBAL)
+
+
 def rule_universe(spark, sf_dir):
     return candidates(index(spark, sf_dir), UNIVERSE)
 
@@ -170,6 +228,23 @@ QUERIES = {
     "merge_shifted_postings": merge_shifted_postings,
     "merged_match": merged_match,
     "fid_to_path": fid_to_path,
+    "merged_fid_to_path": merged_fid_to_path,
+    "numbered_samples": numbered_samples,
+    "listed_paths": listed_paths,
+    "streamed_index": streamed_index,
+    "short_string_rule": short_string_rule,
+    "folded_rule": folded_rule,
+    "loose_nocase_rule": loose_nocase_rule,
+    "global_rule": global_rule,
+    "contains_rule": _candidates(CONTAINS),
+    "wildcard_set_rule": _candidates(WILDCARD),
+    "loop_rule": _candidates(LOOP),
+    "offset_rule": _candidates(OFFSETS),
+    "machine_rule": _candidates(MACHINE),
+    "exports_rule": _candidates(EXPORTS),
+    "constant_rule": _candidates(CONSTANT),
+    "relaxed_rule": _candidates(RELAXED),
+    "each_string_rule": _candidates(EACH),
     "nocase_match": _candidates(NOCASE),
     "wide_match": wide_match,
     "hex_string_match": _candidates(HEX),
@@ -251,6 +326,24 @@ ORACLE_SQL = {
     "merge_shifted_postings": f"SELECT ng AS ngram, fid FROM (WITH {_DOCS} SELECT ng, fid FROM g) WHERE ng IN ({_list(grams(PHRASE))}) UNION ALL SELECT ng AS ngram, fid + (SELECT count(*) FROM documents) AS fid FROM (WITH {_PAGES} SELECT ng, fid FROM g) WHERE ng IN ({_list(grams(PHRASE))})",
     "merged_match": f"SELECT fid FROM (WITH {_DOCS} {_has(PHRASE)}) UNION ALL SELECT fid + (SELECT count(*) FROM documents) AS fid FROM (WITH {_PAGES} {_has(PHRASE)})",
     "fid_to_path": f"WITH {_PAGES}, m AS ({_has(WORD[:5])}) SELECT fid, url AS path FROM m JOIN pages ON page_id = fid",
+    "merged_fid_to_path": f"SELECT fid, CAST(fid AS VARCHAR) AS path FROM (WITH {_DOCS} {_has(WORD)}) UNION ALL SELECT fid + (SELECT count(*) FROM documents) AS fid, url AS path FROM (WITH {_PAGES} {_has(WORD)}) JOIN pages ON page_id = fid",
+    "numbered_samples": "SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS fid, CAST(doc_id AS VARCHAR) AS path FROM documents",
+    "listed_paths": "SELECT row_number() OVER (ORDER BY page_id) - 1 AS fid, url AS path FROM pages",
+    "streamed_index": f"""SELECT n AS fid, path FROM (SELECT doc_id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS n, CAST(doc_id AS VARCHAR) AS path FROM documents) JOIN (WITH {_DOCS} {_has(PHRASE)}) ON fid = doc_id
+        UNION ALL SELECT n + (SELECT count(*) FROM documents) AS fid, path FROM (SELECT page_id, row_number() OVER (ORDER BY url) - 1 AS n, url AS path FROM pages) JOIN (WITH {_PAGES} {_has(PHRASE)}) ON fid = page_id""",
+    "short_string_rule": f"WITH {_DOCS} SELECT DISTINCT fid FROM g WHERE ng // 256 = {gram_key(b'BY-')}",
+    "folded_rule": f"({_grouped_sql(PHRASE, WIDTH, TAU)}) INTERSECT ({_grouped_sql(WORD, WIDTH, TAU)})",
+    "loose_nocase_rule": f"WITH {_DOCS} SELECT DISTINCT fid FROM g WHERE ng IN ({_list({gram_key(v) for i in range(11) for v in case_variants(b'Licensed Under'[i : i + 4])})})",
+    "global_rule": "SELECT rule, doc_id AS fid, CAST(doc_id AS VARCHAR) AS path FROM documents JOIN (VALUES ('g'), ('r')) AS v(rule) ON rule = 'g' OR contains(text, 'thanedble') WHERE NOT contains(text, 'licensed')",
+    "contains_rule": f"WITH {_DOCS} {_any_case(b'Licensed')}",
+    "wildcard_set_rule": f"WITH {_DOCS} ({_has(PHRASE)}) UNION ({_has(WORD)})",
+    "loop_rule": f"WITH {_DOCS} {_has(PHRASE)}",
+    "offset_rule": f"WITH {_DOCS} ({_has(PHRASE)}) INTERSECT ({_has(b'tion')})",
+    "machine_rule": f"WITH {_DOCS} {_has(PHRASE)}",
+    "exports_rule": f"WITH {_DOCS} {_has(PHRASE)}",
+    "constant_rule": f"WITH {_DOCS} {_has(PHRASE)}",
+    "relaxed_rule": f"WITH {_DOCS} ({_has(PHRASE)}) UNION ({_has(WORD)})",
+    "each_string_rule": f"WITH {_DOCS} {_has(PHRASE)}",
     "nocase_match": f"WITH {_DOCS} {_any_case(b'Licensed Under')}",
     "wide_match": f"WITH {_grams("regexp_replace(hex(encode(text)), '(..)', '\\100', 'g')")} {_has(widen(PHRASE))}",
     "hex_string_match": f"WITH {_DOCS} SELECT fid FROM g WHERE ng IN ({_list(grams(b'than') | grams(b'le th'))}) GROUP BY fid HAVING count(*) = {len(grams(b'than') | grams(b'le th'))}",

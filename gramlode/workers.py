@@ -1,10 +1,12 @@
-"""What Python workers need from the session."""
+"""What operators need from the session: workers that find the package, and the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reachable(spark: SparkSession) -> SparkSession:
@@ -18,3 +20,25 @@ def reachable(spark: SparkSession) -> SparkSession:
     if root not in environment.get("PYTHONPATH", "").split(":"):
         environment["PYTHONPATH"] = ":".join(filter(None, (root, environment.get("PYTHONPATH", ""))))
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            found = known.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            found = tempfile.mkdtemp(prefix="gramlode-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read again: values that a second run could change stay as they are."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -166,3 +166,103 @@ def test_wide(spark, tmp_path, data):
 def test_empty(spark, tmp_path):
     index = Index.build(frame(spark, [b""]).limit(0), str(tmp_path / "none"))
     assert index.numsamples == 0 and ids(index.get_posting_list(b"abcd")) == set()
+
+
+def test_many_ids(spark):
+    """Dense and unique, with ranges whose bounds are drawn from a sample."""
+    n = 400_000
+    rows = spark.range(n).selectExpr("concat('p', hash(id), '-', id) AS path").repartition(7)
+    numbered = with_fids(rows, "path")
+    assert numbered.selectExpr("count(DISTINCT fid)", "min(fid)", "max(fid)", "count(*)").first() == (n, 0, n - 1, n)
+    assert numbered.selectExpr("path", "fid", "lag(path) OVER (ORDER BY fid) AS before").where("before > path").count() == 0
+
+
+def test_path_list_splits(spark, tmp_path):
+    lines = [f"file-{k}" + "x" * (k % 50) for k in range(5000)] + ["", "last  "]
+    (tmp_path / "list.txt").write_text("\r\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = {(r.fid, r.path) for r in path_list(spark, str(tmp_path / "list.txt")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {(k, x.rstrip()) for k, x in enumerate(lines)}
+
+
+def test_long_path_list(spark, tmp_path, monkeypatch):
+    from gramlode.sources import samples
+
+    (tmp_path / "a").write_bytes(b"abcd")
+    paths = spark.createDataFrame([(0, "a"), (1, "not there")], "fid long, path string")
+    for most in (0, 10):
+        monkeypatch.setattr(samples, "LISTED", most)
+        assert {(r.fid, bytes(r.content)) for r in files(spark, paths, str(tmp_path)).collect()} == {(0, b"abcd"), (1, b"")}
+
+
+def test_ranges(spark, data):
+    from gramlode.operators.extract import ranged_postings
+
+    big = frame(spark, data * 30)
+    want = {(g, k) for k, d in enumerate(data * 30) for g in grams(d)}
+    import gramlode.operators.extract as x
+
+    old, x.BOUNDS_SHARE = x.BOUNDS_SHARE, 0.5
+    try:
+        ranged = ranged_postings(big, 5)
+        parts = ranged.selectExpr("spark_partition_id() AS p", "*").collect()
+    finally:
+        x.BOUNDS_SHARE = old
+    assert len(parts) == len(want) and {(r.ngram, r.fid) for r in parts} == want
+    spans = {p: [(r.ngram, r.fid) for r in parts if r.p == p] for p in {r.p for r in parts}}
+    assert len(spans) == 5 and all(max(spans[p]) < min(spans[p + 1]) for p in range(4)) and max(map(len, spans.values())) < len(want) / 2
+
+
+def test_merge_into_an_input(spark, tmp_path, data):
+    a, b = (Index.build(frame(spark, x), str(tmp_path / n)) for n, x in (("a", data[:20]), ("b", data[20:])))
+    want = {tuple(r) for r in MergedIndex([a, b]).postings.collect()}
+    whole = merge([a, b], str(tmp_path / "a"), pieces=3)
+    assert {tuple(r) for r in whole.postings.collect()} == want
+    assert whole.numsamples == len(data) and whole.paths.count() == len(data)
+    assert {tuple(r) for r in a.postings.collect()} == {r for r in want if r[1] < 20}  # readers of the old version go on
+    from gramlode.operators import index as module
+
+    module.vacuum(spark, str(tmp_path / "a"))
+    assert {tuple(r) for r in Index.open(spark, str(tmp_path / "a")).postings.collect()} == want
+
+
+def test_merge_goes_on(spark, tmp_path, data, monkeypatch):
+    """After a crash nothing is lost, and whole pieces are not written again."""
+    from gramlode.operators import index as module
+
+    parts = [Index.build(frame(spark, x), str(tmp_path / f"i{k}")) for k, x in enumerate((data[:30], data[30:]))]
+    target, calls, write = str(tmp_path / "t"), [], module.write_sorted
+    Index.build(frame(spark, data[:3]), target)
+
+    def crash(rows, path):
+        calls.append(path)
+        if len(calls) == 3:
+            raise OSError("lost")
+        write(rows, path)
+
+    monkeypatch.setattr(module, "write_sorted", crash)
+    with pytest.raises(OSError):
+        merge(parts, target, pieces=4)
+    assert Index.open(spark, target).numsamples == 3
+    whole = merge(parts, target, pieces=4)
+    assert len(calls) == 5  # two whole ones, the lost one, and then two
+    assert {tuple(r) for r in whole.postings.collect()} == {tuple(r) for r in MergedIndex(parts).postings.collect()}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gramlode.__main__ import main
+
+    for name, body in (("x", b"some text"), ("y", b"more text, some")):
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "list").write_text("x\ny\n")
+    (tmp_path / "rules").write_text('rule r { strings: $a = "some" condition: $a at 0 }')
+    call = lambda *x: (main([str(y) for y in x]), capsys.readouterr().out)[1].split()
+    assert call("build", "-r", tmp_path / "list", "-w", tmp_path / "i", "--root", tmp_path) == ["2"]
+    assert call("merge", tmp_path / "m", tmp_path / "i", tmp_path / "i") == ["4"]
+    assert sorted(call("query", tmp_path / "i", "some")) == ["0", "1", "x", "y"]
+    assert call("query", tmp_path / "i", "more") == ["1", "y"]
+    assert call("scan", tmp_path / "i", tmp_path / "rules", "-r", tmp_path / "list", "--root", tmp_path) == ["r", "0", "x"]

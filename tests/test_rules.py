@@ -182,3 +182,81 @@ def test_nothing_to_match(spark, tmp_path):
 def test_overlapping_and_empty_matches():
     s = rule("$a = /a*/", "$a").strings["$a"]
     assert matches(s, b"aab") == [(0, 2), (1, 1)]
+
+
+def test_global_rules(spark, tmp_path):
+    data = [b"alpha1 beta1", b"alpha1", b"beta1", b""]
+    samples, text = samples_of(spark, data), 'global rule g { strings: $b = "beta1" condition: $b } rule r { strings: $a = "alpha1" condition: $a } rule all { condition: true }'
+    index = Index.build(samples, str(tmp_path / "i"))
+    assert {(x.rule, x.fid) for x in candidates(index, text).collect()} == {("r", 0), ("g", 0), ("g", 2), ("all", 0), ("all", 2)}
+    want = {("g", 0), ("g", 2), ("r", 0), ("all", 0), ("all", 2)}
+    assert {(x.rule, x.fid) for x in scan(index, samples, text).collect()} == want
+    opposite = text.replace("condition: $b", "condition: not $b")
+    assert {(x.rule, x.fid) for x in scan(index, samples, opposite).collect()} == {("g", 1), ("g", 3), ("r", 1), ("all", 1), ("all", 3)}
+
+
+def test_short_strings(spark, tmp_path):
+    r = random.Random(3)
+    data = [bytes(r.choice(b"abcd") for _ in range(r.randrange(12))) for _ in range(200)]
+    samples = samples_of(spark, data)
+    index = Index.build(samples, str(tmp_path / "i"))
+    for body in (b"abc", b"abcd", b"bcda"):
+        text = f'rule r {{ strings: $a = "{body.decode()}" condition: $a }}'
+        got = {x.fid for x in candidates(index, text, lower_bound=3).collect()}
+        inside = {k for k, d in enumerate(data) if body in (d[:-1] if len(body) == 3 else d)}
+        assert inside <= got
+        if len(body) == 3:
+            assert got == inside  # not those that end in it only
+    assert candidates(index, 'rule r { strings: $a = "abc" condition: $a }').where("prunable").count() == 0
+    with pytest.raises(ValueError):
+        candidates(index, "rule r { condition: true }", lower_bound=2)
+
+
+def test_options_widen(spark, tmp_path):
+    r = random.Random(4)
+    data = [bytes(r.choice(b"abAB") for _ in range(r.randrange(30))) for _ in range(300)]
+    index = Index.build(samples_of(spark, data), str(tmp_path / "i"))
+    for text in ('rule r { strings: $a = "abab" $b = "bbab" condition: $a and $b }', 'rule r { strings: $a = "abab" nocase condition: $a }', 'rule r { strings: $a = "abab" $b = "bb" $c = "aaba" condition: 2 of them }'):
+        of = lambda **o: {x.fid for x in candidates(index, text, **o).collect()}  # noqa: B023, E731
+        exact = of()
+        assert exact <= of(groupwidth=11) and exact <= of(groupwidth=11, tau=5) and exact <= of(compat=True)
+        assert of(groupwidth=11, tau=0) == exact
+
+
+def tiny_pe(machine=0x14C, sections=1, export=b"Start"):
+    """Headers, one section and an export table with one name."""
+    import struct
+
+    head = b"MZ" + b"\0" * 58 + struct.pack("<I", 64)
+    coff = b"PE\0\0" + struct.pack("<HHIIIHH", machine, sections, 7, 0, 0, 104, 2)
+    optional = struct.pack("<H", 0x10B) + b"\0" * 94 + struct.pack("<II", 0x1000, 64)
+    section = b".edata\0\0" + struct.pack("<4I", 0x200, 0x1000, 0x200, 0x200) + b"\0" * 16
+    body = struct.pack("<IIHHIIIIIII", 0, 0, 0, 0, 0, 1, 1, 1, 0, 0x1040, 0) + b"\0" * 24 + struct.pack("<I", 0x1050) + b"\0" * 12 + export + b"\0"
+    return (head + coff + optional + section).ljust(0x200, b"\0") + body
+
+
+def test_modules():
+    holds = lambda condition, data: Matcher(rule('$a = "zz"', condition), data).holds()
+    pe, elf = tiny_pe(), b"\x7fELF\x02\x01" + b"\0" * 10 + b"\x02\0\x3e\0" + b"\0" * 30
+    assert holds("pe.machine == pe.MACHINE_I386 and pe.number_of_sections == 1 and pe.is_pe", pe)
+    assert holds('pe.exports("Start") and not pe.exports("Stop")', pe)
+    assert holds("elf.machine == elf.EM_X86_64 and elf.type == elf.ET_EXEC", elf)
+    assert not holds("pe.machine == pe.MACHINE_I386", elf) and not holds("elf.type == 2", pe)
+    for cut in range(0, len(pe), 7):  # cut off anywhere
+        holds('pe.exports("Start") or pe.machine == 1', pe[:cut])
+
+
+def test_rules_that_cannot_be_evaluated(spark, tmp_path):
+    """They don't stop the others, and their candidates are reported as not verified."""
+    from gramlode.plans.verify import report, unsupported
+
+    data = [b"abcd", b"xxxx abcd", tiny_pe()]
+    samples = samples_of(spark, data)
+    index = Index.build(samples, str(tmp_path / "i"))
+    rules = parse('rule plain { strings: $a = "abcd" condition: $a at 0 } rule odd { strings: $a = "abcd" condition: $a and entrypoint == 3 } rule uses { condition: odd } rule pe { condition: pe.machine == 0x14c } rule x { strings: $a = "abcd" xor condition: $a }')
+    assert set(unsupported(rules)) == {"odd", "uses", "x"}
+    got = {(r.rule, r.fid, r.verified) for r in report(index, samples, rules).collect()}
+    assert {x for x in got if x[2]} == {("plain", 0, True), ("pe", 2, True)}
+    assert {x[:2] for x in got if not x[2]} == {("odd", 0), ("odd", 1), *(("uses", k) for k in range(3)), *(("x", k) for k in range(3))}
+    with pytest.warns(UserWarning, match="odd"):
+        assert scan(index, samples, rules).count() == 2
