@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.workers import reachable
+from gramlode.workers import reachable, shared_folder
 
 #: Bytes of one Arrow batch sent to a Python worker: long texts make short batches.
 BATCH_BYTES = 4 << 20
@@ -49,22 +48,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="gramlode-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again: cuts the lineage, survives a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` gave and that nothing later reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:

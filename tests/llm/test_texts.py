@@ -75,6 +75,70 @@ def test_html_repeats():
     assert all(shared in t for t in out)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p>One <svg class="i"/> two.</p><p>Three</p></article>', "One two.\n\nThree"), ('<article><p>One <svg><path d="x"/><text>icon</text></svg> two.</p></article>', "One two."),
+        ("<article><p>One <svg><path>two.</p><p>Three</p></article>", "One\n\nThree"), ("<article><p>One<object><p>gone</object></p><p>Three</p></article>", "One\n\nThree"),
+        ("<article><object-x>stays</object-x><p>and this</p></article>", "stays\n\nand this"), ("<article><p>a</p><noscript>b<p>c</p></noscript><p>d</p></article>", "a\n\nd"), ("<article><p>a</p><script>b", "a"),
+        ('<article><p class="side-by-side">x</p><p class="form-of-words">y</p><p id="share-price">z</p></article>', "x\n\ny\n\nz"), ('<article><p>x</p><div class="share-buttons">a</div><div id="siteFooter">b</div><div class="x ad">c</div><div class="ad-1">d</div></article>', "x"),
+        ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 10 + "</article> after", "deep"), ("<article><p>a < b && c > d</p><p>x <unknown y='>'>z</p></article>", "a < b && c > d\n\nx z"),
+    ],
+)
+def test_html_broken_pages(page, want):
+    assert html_text.extract_group([page]) == [want]
+
+
+def test_html_long_page():
+    body = "".join(f"<p>paragraph {k} of a long page</p>" for k in range(60_000))
+    text = html_text.extract_group([f"<html><body><nav>menu</nav><article>{body}</article></body></html>"])[0]
+    assert text.count("\n\n") == 59_999 and text.endswith("paragraph 59999 of a long page")
+
+
+def host_texts(streams):
+    """Brute force: words outside every run that enough distinct pages (lists of blocks) of the host have."""
+    distinct = {tuple(p) for p in streams}
+    least = min(html_text.SHARED_PAGES, len(distinct))
+    runs = {}
+    for p in distinct:
+        w = " ".join(p).split(" ")
+        for k in range(len(w) - html_text.RUN + 1):
+            runs.setdefault(tuple(w[k : k + html_text.RUN]), set()).add(p)
+    out = []
+    for p in streams:
+        w, gone, at, kept = " ".join(p).split(" "), set(), 0, []
+        for k in range(len(w) - html_text.RUN + 1):
+            if len(distinct) > 1 and len(runs[tuple(w[k : k + html_text.RUN])]) >= least:
+                gone.update(range(k, k + html_text.RUN))
+        for block in p:
+            words = block.split(" ")
+            stay = [x for k, x in enumerate(words, at) if k not in gone]
+            at += len(words)
+            if stay:
+                kept.append(" ".join(stay))
+        out.append("\n\n".join(kept))
+    return out
+
+
+def test_html_hosts(spark, monkeypatch):
+    """Pages without articles against brute force, a host in many groups, copies of pages, and clashing names."""
+    monkeypatch.setattr(html_text, "GROUP_BYTES", 3000)
+    r = random.Random(5)
+    phrases = [" ".join(r.choice("abcdefgh") for _ in range(r.randrange(4, 20))) for _ in range(12)]
+    pages, streams = [], {}
+    for k in range(160):
+        host = r.choice((0, 0, 0, 1, 2, 3 + k))  # one large host, and some of one page
+        p = [" ".join(x for x in (r.choice(phrases), *(f"{c}{r.randrange(30)}" for c in "xyzxyz"[: r.randrange(7)])) if x) for _ in range(r.randrange(1, 6))]
+        for page in {k, k + 1000} if k % 9 == 0 else {k}:
+            pages.append((page, f"http://h{host}.example/{page}", "<body>" + "".join(f"<div>{x}</div>" for x in p) + "</body>", "s", "t"))
+            streams.setdefault(host, []).append((page, p))
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string, stream string, text string").repartition(5)).collect()}
+    want = {page: t for found in streams.values() for (page, _), t in zip(found, host_texts([p for _, p in found]))}
+    assert got == want
+    for found in streams.values():  # the same in one place
+        assert html_text.extract_group(["".join(f"<div>{x}</div>" for x in p) for _, p in found]) == [want[page] for page, _ in found]
+
+
 def test_html_table(spark):
     rows = [(k, f"http://h{k % 3}.example/x", f"<article><p>text {k}</p></article>", "z") for k in range(30)] + [(100, None, None, "z"), (101, "http://h1.example", "", "z"), (5, "http://h2.example/x", "<article><p>text 5</p></article>", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, _host string")
