@@ -91,3 +91,22 @@ def lookup(rows: DataFrame, unique: DataFrame, key: str, counts: str) -> DataFra
     warm = first.where("_hot").drop("_hot")
     cool = first.where("_hot is null").drop("_hot", *names).join(cold, key, "left")
     return warm.unionByName(cool)
+
+
+def spread(rows: DataFrame, unique: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join of `rows` to one row per key, safe for keys with a large share of the rows and for wide rows of `unique`.
+
+    A key with 1/HOT_SHARE of the rows or more is salted by the column `by`, in parts of about that share, and its row
+    of `unique` goes to each part. Only the at most HOT_SHARE such keys and their numbers of parts are broadcast.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.greatest(F.coalesce(F.sum("_n"), F.lit(0)), F.lit(HOT_SHARE * 100)).alias("_total"))
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * HOT_SHARE >= F.col("_total")).select(key, F.ceil(F.col("_n") * HOT_SHARE / F.col("_total")).alias("_parts"))
+    found = hot.collect()  # at most HOT_SHARE rows
+    if not found:
+        return rows.join(unique, key, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts)).drop("_parts")
+    right = unique.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")

@@ -1,9 +1,12 @@
 """Benchmark decontamination with a broadcast set of normalised test n-grams.
 
-The windows of all benchmark items are hashed on the driver, one bounded block of items at a
-time, and broadcast. Each block is one pass over the documents without a shuffle: word windows are
-looked up by hash, every hit is verified on the words themselves, and covered words are counted.
-A benchmark of more than `block_words` words makes more blocks, not a larger broadcast.
+A benchmark of up to `block_words` words is hashed on the driver and broadcast: one pass over the documents without a
+shuffle, in which word windows are looked up by hash, every hit is verified on the words themselves, and covered
+words are counted.
+
+A larger benchmark stays a table of windows. Documents are filtered by a broadcast bitmap of window hashes of at most
+MOST_BITS bits; the windows that pass are joined with the table on hash and words, and come back to their documents by
+a 64-bit hash of the text.
 
 Defined results: a null or wordless text has no words and no hits; an item without words has no
 window; repeated rows are judged one by one; further columns pass through `decontaminate`
@@ -13,20 +16,20 @@ unchanged, except that a column named like one of RESULT is replaced.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import session, tidy
+from .common import lookup, session, spread, stored, tidy
 from .words import ALNUM_WORDS, Texts, Windows, slices, window_starts
 
 WINDOW = 13
 #: Words of benchmark items in one broadcast: about 40 MB with hashes and words.
 BLOCK_WORDS = 500_000
+#: Bits of the bitmap for a larger benchmark, 128 MB; 16 for each window as long as that is less.
+MOST_BITS = 1 << 30
 #: A document is contaminated if SHARE times its covered words are at least its words.
 SHARE = 20
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -52,17 +55,91 @@ class Block:
         self.lengths = {n: (np.array(sorted(found), dtype=np.uint64), {h: [(w, sorted(s)) for w, s in x.items()] for h, x in found.items()}) for n, found in by.items()}
 
 
-def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
-    """Items in blocks of at most `block_words` words (one longer item is a block of its own)."""
-    held, n = [], 0
-    for item, text in benchmark.select("item_id", "text").toLocalIterator(prefetchPartitions=False):
-        words = len(text or "") // 2 + 1
-        if held and n + words > block_words:
-            yield Block(held, window)
-            held, n = [], 0
-        held.append((item, text))
-        n += words
-    yield Block(held, window)
+def _windows(window: int):
+    """(item, length, hash, words) of the windows of benchmark items."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            texts = Texts(batch.column("text"), ALNUM_WORDS, lower=True)
+            windows, rows = Windows(texts.hashes), []
+            for d, item in enumerate(batch.column("item_id").to_pylist()):
+                a, z = int(texts.first[d]), int(texts.first[d + 1])
+                length = min(window, z - a)
+                if length:
+                    hashes = windows.of(length)[a : z - length + 1].view(np.int64).tolist()
+                    rows += [(item, length, h, b" ".join(texts.words(i, i + length))) for i, h in zip(range(a, z), hashes)]
+            columns = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["item", "length", "hash", "words"])
+
+    return run
+
+
+def _bitmap(bits: int):
+    def run(batches):
+        out = np.zeros(1 << bits - 3, dtype=np.uint8)
+        for batch in batches:
+            _set(out, bits, batch.column("hash").to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
+
+    return run
+
+
+def _set(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> None:
+    at = hashes >> np.uint64(64 - bits)
+    np.bitwise_or.at(bitmap, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+
+def _pass_filter(shared, bits: int, lengths: list[int]):
+    """(key, length, start, hash, words) of the windows of documents that the bitmap lets pass."""
+
+    def run(batches):
+        bitmap = np.frombuffer(shared.value, dtype=np.uint8)
+        for batch in slices(batches, "text"):
+            texts = Texts(batch.column("text"), ALNUM_WORDS, lower=True)
+            windows, keys, rows = Windows(texts.hashes), batch.column("_key").to_pylist(), []
+            for length in lengths:
+                at = window_starts(texts.first, length)
+                hashes = windows.of(length)[at]
+                slot = hashes >> np.uint64(64 - bits)
+                found = (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                doc = np.searchsorted(texts.first, at[found], side="right") - 1
+                rows += [(keys[d], length, i - int(texts.first[d]), h, b" ".join(texts.words(i, i + length))) for d, i, h in zip(doc.tolist(), at[found].tolist(), hashes[found].view(np.int64).tolist())]
+            columns = zip(*rows) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["_key", "length", "start", "hash", "words"])
+
+    return run
+
+
+def _count_words(text: str):
+    def run(batches):
+        for batch in slices(batches, text):
+            texts = Texts(batch.column(text), ALNUM_WORDS, lower=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts.n_words, pa.int64())], names=[*batch.schema.names, "_words"])
+
+    return run
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, text: str, window: int) -> DataFrame:
+    """`docs` with _from, _to, _items and _words, for a benchmark that is too large to broadcast."""
+    spark = docs.sparkSession
+    table = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(tidy(_windows(window)), "item long, length int, hash long, words binary"), "benchmark-windows")
+    lengths = sorted(r[0] for r in table.select("length").distinct().collect())  # at most `window` of them
+    bits = min(MOST_BITS.bit_length() - 1, max(16, (16 * table.count() - 1).bit_length()))
+    whole = np.zeros(1 << bits - 3, dtype=np.uint8)
+    for r in table.coalesce(16).mapInArrow(tidy(_bitmap(bits)), "bits binary").toLocalIterator():  # one bitmap at a time
+        whole |= np.frombuffer(r["bits"], dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(whole.tobytes())
+    texts = docs.select(F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias("text"))
+    found = texts.mapInArrow(tidy(_pass_filter(shared, bits, lengths)), "_key long, length int, start long, hash long, words binary").distinct()
+    hits = spread(found, table.groupBy("length", "hash", "words").agg(F.collect_set("item").alias("items")).withColumnRenamed("length", "_length").withColumnRenamed("words", "_window"), "hash", "_key")
+    hits = hits.where((F.col("length") == F.col("_length")) & (F.col("words") == F.col("_window")))
+    one = hits.groupBy("_key").agg(F.collect_list("start").alias("_from"), F.collect_list(F.col("start") + F.col("length")).alias("_to"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items"))
+    one = stored(one.join(texts.groupBy("_key").agg(F.count("*").alias("_copies")), "_key"), "benchmark-hits")
+    none = F.array().cast("array<long>")
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64(F.col(text)).alias("_key"))
+    joined = lookup(packed, one, "_key", "_copies").select("_doc.*", *(F.coalesce(c, none).alias(c) for c in ("_from", "_to", "_items")))
+    fields = [*docs.schema.fields, *_STATE[1:], _STATE[0]]
+    return joined.mapInArrow(tidy(_count_words(text)), T.StructType(fields))
 
 
 def _pass(block, text: str):
@@ -94,11 +171,6 @@ def _pass(block, text: str):
                     ends[d].append(i + length)
                 held[d].update(of)
             items = [sorted(x) for x in held]
-            if "_words" in batch.schema.names:
-                for k, (name, new) in enumerate((("_from", starts), ("_to", ends), ("_items", items))):
-                    for old, x in zip(batch.column(name).to_pylist(), new):
-                        x.extend(old)
-                batch = batch.select([n for n in batch.schema.names if n not in ("_words", "_from", "_to", "_items")])
             arrays = [pa.array(texts.n_words, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (starts, ends, items))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "_words", "_from", "_to", "_items"])
 
@@ -106,7 +178,7 @@ def _pass(block, text: str):
 
 
 def _digest(batches):
-    """Merge the spans of all blocks and sum them up."""
+    """Merge the spans and sum them up."""
     for batch in batches:
         spans, n_hit, n_items, sha = [], [], [], []
         for a, b, items in zip(*(batch.column(c).to_pylist() for c in ("_from", "_to", "_items"))):
@@ -134,10 +206,15 @@ def judge(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     spark = session(docs.sparkSession)
     out = docs.drop(*(c for c in docs.columns if c in RESULT))
     plain = list(out.schema.fields)
-    for block in blocks(benchmark, window, block_words):
-        out = out.mapInArrow(tidy(_pass(spark.sparkContext.broadcast(block), text)), T.StructType(plain + _STATE))
+    size = benchmark.agg(F.coalesce(F.sum(F.floor(F.length("text") / 2) + 1), F.lit(0))).first()[0]
+    if size <= block_words:
+        items = [(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()]  # at most block_words words
+        block = spark.sparkContext.broadcast(Block(items, window))
+        out = out.mapInArrow(tidy(_pass(block, text)), T.StructType(plain + _STATE))
+    else:
+        out = _joined(out, benchmark, text, window)
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), SPAN)
-    return out.mapInArrow(tidy(_digest), T.StructType(plain + [T.StructField(n, k) for n, k in zip(RESULT, kinds)]))
+    return out.select(*(f.name for f in plain), *(f.name for f in _STATE)).mapInArrow(tidy(_digest), T.StructType(plain + [T.StructField(n, k) for n, k in zip(RESULT, kinds)]))
 
 
 def _cut(batches):

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linkage
-from .common import lookup, session, stored, tidy
-from .exchange import bucket_count, bucket_of, dealt, grouped, pack48, unpack48
+from .common import lookup, session, spread, stored, tidy
+from .exchange import bucket_count, bucket_of, dealt, grouped, ranges
 from .words import SPACE_WORDS, Texts, Windows, mix, slices, window_starts
 
 WORDS = 5
@@ -91,14 +91,15 @@ def _send(buckets: int, key: str, text: str):
             order = np.lexsort((docs, bucket))
             docs, values, bucket = docs[order], values[order], bucket[order]
             of_sig = bucket_of(sigs[once], buckets)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.union1d(bucket, of_sig).tolist():
-                a, z = edges[b], edges[b + 1]
+            once, of_sig = once[np.argsort(of_sig, kind="stable")], np.sort(of_sig)
+            spans, of_sigs = {b: (a, z) for b, a, z in ranges(bucket)}, {b: (a, z) for b, a, z in ranges(of_sig)}
+            for b in sorted({*spans, *of_sigs}):
+                a, z = spans.get(b, (0, 0))
                 own, counts = np.unique(docs[a:z], return_counts=True)
-                s = once[of_sig == b]
+                s = once[slice(*of_sigs.get(b, (0, 0)))]
                 wide = "<u2" if len(ids) <= 1 << 16 and (not len(counts) or counts.max() < 1 << 16) else "<u4"
                 head = np.array([len(own), len(s), int(wide[2])], dtype="<i4").tobytes()
-                rows.append((b, base + k, head + own.astype(wide).tobytes() + counts.astype(wide).tobytes(), s.astype("<i4").tobytes() + sigs[s].astype("<u8").tobytes() + ids[s].astype("<i8").tobytes() + pack48(sigs[own]), pack48(values[a:z])))
+                rows.append((b, base + k, head + own.astype(wide).tobytes() + counts.astype(wide).tobytes(), s.astype("<i4").tobytes() + sigs[s].astype("<u8").tobytes() + ids[s].astype("<i8").tobytes() + sigs[own].astype("<u8").tobytes(), values[a:z].astype("<u8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ROW.types)], schema=_ROW)
 
     return run
@@ -118,7 +119,7 @@ def _count(buckets: int):
                 n, m, wide = np.frombuffer(r["counts"], "<i4", 3).tolist()
                 own, counts = np.frombuffer(r["counts"], f"<u{wide}", 2 * n, 12).reshape(2, n)
                 s, set_sig, ids = np.frombuffer(r["sigs"], "<i4", m), np.frombuffer(r["sigs"], "<u8", m, 4 * m), np.frombuffer(r["sigs"], "<i8", m, 12 * m)
-                parts.append((own, counts, unpack48(r["sigs"][20 * m :]), s, set_sig, ids, unpack48(r["tokens"])))
+                parts.append((own, counts, np.frombuffer(r["sigs"], "<u8", n, 20 * m), s, set_sig, ids, np.frombuffer(r["tokens"], "<u8")))
             tokens = np.concatenate([p[6] for p in parts])
             sig = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
             order = np.lexsort((sig, tokens))
@@ -136,13 +137,12 @@ def _count(buckets: int):
             for x, i in zip(sets.tolist(), ids.tolist()):
                 smallest[x] = min(i, smallest.get(x, i))
             at, out = 0, []
-            top = np.uint64(bucket & 0xFFFF) << np.uint64(48)
             for r, (own, counts, _, s, set_sig, _, mine) in zip(rows, parts):
                 d = df[at : at + len(mine)]
                 at += len(mine)
                 keep = d >= 2
                 who = np.repeat(own, counts)[keep].astype("<i4")
-                value = (mine[keep] | top).astype("<u8")
+                value = mine[keep].astype("<u8")
                 first = np.array([smallest[x] for x in set_sig.tolist()], dtype="<i8")
                 head = np.array([len(who), len(s)], dtype="<i4").tobytes()
                 out.append((bucket, r["slice"], head + who.tobytes() + s.tobytes(), first.tobytes() + d[keep].astype("<i4").tobytes(), value.tobytes()))
@@ -172,7 +172,7 @@ def prefix_length(n: int, unique: int, df: np.ndarray) -> tuple[int, int]:
     return best[1:]
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_id", pa.int64()), ("tokens", pa.list_(pa.int64())), ("n_prefix", pa.int32()), ("matches", pa.int32())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_id", pa.int64()), ("sig", pa.int64()), ("tokens", pa.list_(pa.int64())), ("n_prefix", pa.int32()), ("matches", pa.int32())])
 
 
 def _collect(batches):
@@ -205,7 +205,7 @@ def _collect(batches):
             if a < z and first[k] == ids[k] and n - (z - a) <= allowed(n):
                 length, matches = prefix_length(n, n - (z - a), df[a:z])
                 tokens = values[a:z].view("<i8")
-            out.append((None if nulls[k] else int(ids[k]), n, None if nulls[k] else int(first[k]), tokens, length, matches))
+            out.append((None if nulls[k] else int(ids[k]), n, None if nulls[k] else int(first[k]), int(sigs[k]), tokens, length, matches))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _OUT.types)], schema=_OUT)
 
 
@@ -217,23 +217,24 @@ def profile(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = "bucket long, slice long, counts binary, sigs binary, tokens binary"
     sent = docs.mapInArrow(tidy(_send(buckets, "doc_id", "text")), rows)
     counted = dealt(sent, "bucket").mapInArrow(tidy(_count(buckets)), rows)
-    out = "doc_id long, n_shingles long, class_id long, tokens array<long>, n_prefix int, matches int"
+    out = "doc_id long, n_shingles long, class_id long, sig long, tokens array<long>, n_prefix int, matches int"
     return stored(dealt(counted, "slice").mapInArrow(tidy(_collect), out), "profiles")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row."""
     found = profile(docs, key, text)
-    sets = found.where("tokens is not null").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "tokens", "n_prefix", "matches")
-    keys = sets.select(F.explode(F.slice("tokens", 1, F.col("n_prefix"))).alias("key"), F.col("doc_id").alias("id"), (F.col("n_shingles") - F.size("tokens")).alias("own_shingles"), F.size("tokens").cast("long").alias("shared"), F.col("n_shingles").alias("n"), "matches")
+    # sets are told apart by their signatures: an id can have several texts
+    sets = found.where("tokens is not null").dropDuplicates(["sig"]).select("sig", "n_shingles", "tokens", "n_prefix", "matches")
+    keys = sets.select(F.explode(F.slice("tokens", 1, F.col("n_prefix"))).alias("key"), F.col("sig").alias("id"), (F.col("n_shingles") - F.size("tokens")).alias("own_shingles"), F.size("tokens").cast("long").alias("shared"), F.col("n_shingles").alias("n"), "matches")
 
     def verifier(ids: DataFrame):
         return verify
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("tokens").alias("ta"))
-        b = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("tokens").alias("tb"))
-        both = pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("i"))
+        a = sets.select(F.col("sig").alias("a"), F.col("n_shingles").alias("na"), F.col("tokens").alias("ta"))
+        b = sets.select(F.col("sig").alias("b"), F.col("n_shingles").alias("nb"), F.col("tokens").alias("tb"))
+        both = spread(spread(pairs, b, "b", "a"), a, "a", "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("i"))
         union = F.col("na") + F.col("nb") - F.col("i")
         return both.select("a", "b", (DEN * F.col("i") >= NUM * union).alias("linked"), F.col("i").alias("common"))
 
@@ -251,18 +252,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         both = F.array_intersect(f"{x}.prefix", f"{y}.prefix")
         return (F.array_min(both) == F.col(f"{x}.key")) & (F.size(both) >= F.least(f"{x}.matches", f"{y}.matches"))
 
-    prefixes = sets.select(F.col("doc_id").alias("id"), F.slice("tokens", 1, F.col("n_prefix")).alias("prefix"))
+    prefixes = sets.select(F.col("sig").alias("id"), F.slice("tokens", 1, F.col("n_prefix")).alias("prefix"))
     linked = linkage.link(keys, verifier, admit, ["own_shingles", "shared", "n", "matches"], apart, prefixes, once)
-    sizes = found.groupBy("class_id").agg(F.count("*").alias("_rows")).where("class_id is not null")
-    classes = stored(linked.withColumnRenamed("id", "class_id").join(sizes, "class_id"), "linked-classes")
-    rows = lookup(found.select("doc_id", "n_shingles", "class_id"), classes, "class_id", "_rows")
+    sizes = found.groupBy("sig").agg(F.count("*").alias("_rows"), F.min("class_id").alias("_class"))
+    classes = linked.select(F.col("id").alias("sig"), F.col("component").alias("_set")).join(sizes, "sig")
+    first = classes.groupBy("_set").agg(F.min("_class").alias("component"))
+    classes = stored(spread(classes, first, "_set", "sig").select("sig", "component", "_rows"), "linked-classes")
+    rows = lookup(found.select("doc_id", "n_shingles", "class_id", "sig"), classes, "sig", "_rows")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that have a smaller id in their component; rows that repeat an id go with it."""
+    """The documents without those that have a smaller id in their component. Rows that repeat a kept id all stay, and rows with a null id."""
     one = join(docs, key, text).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    # a repeated id stays once
     kept = docs.join(one, key, "left_semi")
     nulls = docs.where(F.col(key).isNull())
     return kept.unionByName(nulls).select(*docs.columns)

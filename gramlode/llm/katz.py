@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session, stored, tidy
-from .exchange import bucket_bits, dealt, grouped, squeeze, steps, unsqueeze
+from .exchange import bucket_bits, dealt, grouped, ranges, squeeze, steps, unsqueeze
 from .words import SPACE_WORDS, Texts, mix, slices
 
 ORDER = 3
@@ -92,12 +92,6 @@ def tokens_of(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _ranges(keys: np.ndarray) -> list[tuple[int, int, int]]:
-    """(key, from, to) of the runs of an ascending array."""
-    edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, dtype=np.int64)
-    return [(int(keys[a]), int(a), int(z)) for a, z in zip(edges[:-1], edges[1:])]
-
-
 def _send(bits: int, learn: bool):
     """Words of a slice by bucket of their hash; a negative bucket keeps its tokens and documents."""
 
@@ -115,7 +109,7 @@ def _send(bits: int, learn: bool):
             counts = np.bincount(at, weights=np.repeat(train, np.diff(first)), minlength=len(words)).astype(np.int64)
             meta = _pack(first, held, train, ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False))
             rows = [(-1 - base - k, base + k, squeeze(at.astype("<u4")), meta, b"", [int(train.sum())])]
-            rows += [(b, base + k, _pack(steps(words[i:j]).view(np.int64), counts[i:j]), b"", b"", []) for b, i, j in _ranges(words >> np.uint64(64 - bits))]
+            rows += [(b, base + k, _pack(steps(words[i:j]).view(np.int64), counts[i:j]), b"", b"", []) for b, i, j in ranges(words >> np.uint64(64 - bits))]
             yield _batch(rows)
 
     return run
@@ -250,7 +244,7 @@ class Entries:
             salted = mix(near + second * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(const.hot_shards)
             self.shard = np.where(hot, (1 << const.bits) + salted.astype(np.int64), self.shard)
         self.order = np.argsort(self.shard, kind="stable")
-        self.ranges = _ranges(self.shard[self.order])
+        self.ranges = ranges(self.shard[self.order])
 
 
 def pack_entries(h: list[np.ndarray], w: np.ndarray, c1: np.ndarray, times: np.ndarray) -> bytes:

@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linkage
-from .common import let, lookup, session, stored
+from .common import discard, let, lookup, session, spread, stored
 
 #: Limits on the SimHashes of linked lines, which at these values exclude none.
 BITS_APART, LEAST_BALANCED = 63, 0
 #: A line of fewer words can't be within a tenth of its words of another.
 LEAST_WORDS = 8
+#: Percent of its characters that a document can lose: near duplicates share three quarters.
+MOST_LOST = 75
 #: Words of a run, bits of a key that hold its hash, and bits of a parity.
 GRAM, HASH_BITS, PARITY_BITS = 3, 55, 63
 #: Characters that words become for the edit distance: all from U+10000 on.
@@ -136,6 +138,8 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     # the most frequent class of a bucket leads: of many variants it is the one that they vary
     keys = met.join(near, "h").select("key", F.col("h").alias("id"), (-F.col("count")).alias("rank"), "n", "parity")
 
+    texts: DataFrame | None = None
+
     def admit(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
         edits = F.floor(F.greatest(n, m) / 10)
@@ -145,16 +149,18 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         at = near.join(ids, near["h"] == ids["id"]).groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("at"))
         whole = docs.select(row_key(docs, key, text).alias("row"), F.col(text).alias("_text"))
         picked = whole.join(at, "row").select(let(F.split("_text", "\n"), lambda a: F.transform("at", lambda p: F.struct(p["h"].alias("h"), coded(normal_words(F.get(a, p["pos"]))).alias("line")))).alias("got"))
+        nonlocal texts
         texts = stored(picked.select(F.explode("got").alias("g")).select("g.h", "g.line"), "candidate-lines")
 
         def verify(pairs: DataFrame) -> DataFrame:
             a, b = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
             edits = F.expr("levenshtein(la, lb, cast(greatest(length(la), length(lb)) div 10 as int))")
-            return pairs.join(b, "b").join(a, "a").select("a", "b", (edits >= 0).alias("linked")).dropDuplicates(["a", "b"])
+            return spread(spread(pairs, b, "b", "a"), a, "a", "b").select("a", "b", (edits >= 0).alias("linked")).dropDuplicates(["a", "b"])
 
         return verify
 
     linked = linkage.link(keys, verifier, admit, ["rank", "n", "parity"])
+    discard(met, near, texts)
     grouped = classes.join(linked.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     grouped = stored(grouped.select("h", "component", "first", "count"), "line-groups")
     keep = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("count").alias("rows")).where("rows > 1").select("component", "keep")
@@ -172,8 +178,11 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.join(gone, "row", "left").select("doc_id", "n_lines", F.size(numbers).cast("long").alias("n_removed"), numbers.alias("removed"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without the lines that go (n_chars follows); a document none of whose lines is left goes too."""
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", most_lost: int = MOST_LOST) -> DataFrame:
+    """The documents without the lines that go (n_chars follows); a document none of whose lines is left goes too.
+
+    So does one that loses more than `most_lost` percent of its characters: what is left of a copy is not a document.
+    """
     gone = removed(docs, key, text).select(F.col("row").alias("_row"), F.col("removed").alias("_removed"))
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), row_key(docs, key, text).alias("_row"))
     joined = packed.join(gone, "_row", "left")
@@ -181,6 +190,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         F.array_join(F.filter(F.split(F.col(f"_doc.{text}"), "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
     )
     out = joined.select("_doc.*", kept.alias("_kept"), F.col("_removed").isNotNull().alias("_changed"))
-    out = out.where(~F.col("_changed") | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
+    enough = F.length("_kept") * 100 >= F.length(text) * (100 - most_lost)
+    out = out.where(~F.col("_changed") | (F.col("_kept").rlike(r"[^\x20\x09-\x0D]") & enough))
     columns = [F.col("_kept").alias(c) if c == text else F.when(F.col("_changed"), F.length("_kept").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*columns)

@@ -1,8 +1,11 @@
 """Groups of linked rows: connected components, and links found through shared keys.
 
 Nothing here emits all pairs of a bucket. Every member is compared with one leader first; what that
-links becomes one component, and only members of different components are compared after that.
-Each round is written to the shared folder, so a lost executor costs no more than a round.
+links becomes one component, and only members of different components are compared after that, in blocks of a
+bucket so that no task has all of a large one. Joins on a hub of many links are salted. Each round is written to the
+shared folder, so a lost executor costs no more than a round; tables of earlier rounds are deleted.
+
+Nulls: ids and keys must not be null. Empty inputs give empty results.
 """
 
 from __future__ import annotations
@@ -12,15 +15,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, spread, stored
+
+#: Members of a block: buckets with more are compared block by block.
+BLOCK = 1000
 
 
 def roots(forest: DataFrame) -> DataFrame:
     """(a, to) with `to` the root of a's tree, from parents (a, to) that are unique in a: paths double in each round."""
+    before = None
     while True:
         up = forest.select(F.col("a").alias("to"), F.col("to").alias("up"))
-        jumped = stored(forest.join(up, "to", "left").select("a", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")), "forest")
-        forest = jumped.drop("moved")
+        joined = spread(forest, up, "to", "a", "left")
+        jumped = stored(joined.select("a", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")), "forest")
+        if before is not None:
+            discard(before)
+        forest, before = jumped.drop("moved"), jumped
         if jumped.where("moved").isEmpty():
             return forest
 
@@ -40,8 +50,10 @@ def components(edges: DataFrame) -> DataFrame:
         found = roots(left.groupBy("a").agg(F.min("b").alias("to")))
         hooks = found if hooks is None else hooks.unionByName(found)
         other = found.select(F.col("a").alias("b"), F.col("to").alias("b_to"))
-        moved = left.join(found, "a").join(other, "b", "left").select(F.col("to").alias("x"), F.coalesce("b_to", "b").alias("y"))
-        left = stored(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a > b").distinct(), "edges")
+        moved = spread(spread(left, found, "a", "b"), other, "b", "a", "left").select(F.col("to").alias("x"), F.coalesce("b_to", "b").alias("y"))
+        rest = stored(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a > b").distinct(), "edges")
+        discard(left)
+        left = rest
     if hooks is None:
         kind = edges.schema["a"].dataType.simpleString()
         return spark.createDataFrame([], f"id {kind}, component {kind}")
@@ -63,31 +75,31 @@ def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame],
     detail: (id, ...), one row per id, whose columns `once` needs.
     once(x, y): a condition that holds for at most one common key of two members, and for one if they are linked.
     """
-    whole = F.struct(*extra, "id")
-    # one shuffle by key: the leaders and the members meet in it
-    dealt = keys.withColumn("own", whole).select("key", "own").repartition("key")
-    buckets = dealt.groupBy("key").agg(F.min("own").alias("lead"), F.count("*").alias("_members")).where("_members > 1")
+    own = keys.select("key", F.struct(*extra, "id").alias("own"), F.col("id").alias("_by"))
+    buckets = stored(own.groupBy("key").agg(F.min("own").alias("lead"), F.count("*").alias("_members")).where("_members > 1"), "buckets")
     fits = (F.col("lead.id") != F.col("own.id")) & admit("lead", "own")
-    keys = stored(dealt.join(buckets, "key").withColumn("_fits", fits), "keys").select("*", "own.*")
+    met = stored(spread(own, buckets, "key", "_by").drop("_by").withColumn("_fits", fits), "keys")
+    keys = met.select("*", "own.*")
     # round 1: one leader for each member
     first = stored(keys.where("_fits").groupBy("id").agg(F.min("lead").alias("lead")).select(F.col("lead.id").alias("a"), F.col("id").alias("b")), "leaders")
-    # whoever may be compared: members with a leader that fits, the leaders, and members of larger buckets with any that fits
+    # whoever may be compared: members with a leader that fits, the leaders, and members of larger buckets
     pair = keys.where("_fits").select(F.explode(F.array("id", "lead.id")).alias("id"))
-    larger = keys.where("_members > 2").select("key", "own")
-    x, y = larger.alias("x"), larger.alias("y")
-    some = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.own.id") != F.col("y.own.id")) & admit("x.own", "y.own"), "left_semi")
-    many = pair.unionByName(some.select(F.col("x.own.id").alias("id")))
-    verify = verifier(many.distinct())
+    verify = verifier(pair.unionByName(keys.where("_members > 2").select("id")).distinct())
     judged = stored(verify(first), "leader-pairs")
     found = stored(components(judged.where("linked").select("a", "b")), "components")
     # round 2: members of different components that share a key
     near = judged.select(F.col("b").alias("id"), F.col("a").alias("near"), *(c for c in judged.columns if c not in ("a", "b", "linked")))
     sides = keys.select("key", "id", *extra).join(found, "id", "left").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = sides.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
-    sides = sides.join(mixed, "key")
-    sides = stored(sides if detail is None else sides.join(detail, "id"), "mixed")
-    x, y = sides.alias("x"), sides.alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & admit("x", "y")
+    sides = stored(sides if detail is None else sides.join(detail, "id"), "sides")
+    mixed = sides.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_members")).where("_lo < _hi")
+    mixed = mixed.select("key", F.ceil(F.col("_members") / BLOCK).alias("_blocks"))
+    # of b blocks, each cell (i, j) has the members of i and j, and compares those of i with those of j
+    cells = spread(sides, mixed, "key", "id").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    cells = cells.withColumn("_cell", F.xxhash64("key", F.least("_block", "_other"), F.greatest("_block", "_other")))
+    x, y = cells.alias("x"), cells.alias("y")
+    on = (F.col("x._cell") == F.col("y._cell")) & (F.col("x.key") == F.col("y.key")) & (F.col("x._other") == F.col("y._block")) & (F.col("x._block") == F.col("y._other"))
+    on = on & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & admit("x", "y")
     if apart is not None:
         on = on & ~F.coalesce((F.col("x.near") == F.col("y.near")) & apart("x", "y"), F.lit(False))
     if once is not None:
@@ -97,7 +109,10 @@ def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame],
     done = judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "rest")
     star = found.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))
-    if pairs.isEmpty():
-        return found
-    rest = stored(verify(pairs), "rest-pairs").where("linked").select("a", "b")
-    return stored(components(star.unionByName(rest)), "components")
+    out = found
+    if not pairs.isEmpty():
+        rest = stored(verify(pairs), "rest-pairs")
+        out = stored(components(star.unionByName(rest.where("linked").select("a", "b"))), "components")
+        discard(rest, found)
+    discard(buckets, met, first, judged, sides, pairs)
+    return out

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,9 +65,15 @@ _open, _close = r"[\[({<]", r"[\])}>]"
 _any_dot = rf"(?:\s*+{_open}\s*+(?:{_dot}|\.)\s*+{_close}\s*+|\s++(?:{_dot})\s++)"
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
 _BRACKETED_AT = re.compile(rf"[ \t]*+{_open}\s*+(?:{_at}|@)\s*+{_close}[ \t]*+", re.I)
-# Last labels that make "x at y dot z" an address; labels that are common words are left out.
+# The default last labels that make a bare "x at y dot z" an address; without them "at the dot in" is one.
 TOP_LABELS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "eu", "de", "fr", "uk", "ch", "example", "test", "invalid")
-_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s++(?:{_at})\s++(?=[A-Za-z0-9-]++(?:(?:\.|{_any_dot})[A-Za-z0-9-]++)*?{_any_dot}(?:{'|'.join(TOP_LABELS)})\b)", re.I)
+
+
+@lru_cache
+def _bare_at(labels: tuple[str, ...]) -> re.Pattern:
+    return re.compile(rf"(?<=[A-Za-z0-9._%+-])\s++(?:{_at})\s++(?=[A-Za-z0-9-]++(?:(?:\.|{_any_dot})[A-Za-z0-9-]++)*?{_any_dot}(?:{'|'.join(map(re.escape, labels))})\b)", re.I)
+
+
 _ANY_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_any_dot}(?=[A-Za-z0-9])", re.I)
 _SPELLED = re.compile(rf"\b(?:plus[\s-]+)?(?:{_spelled})(?:[\s-]+(?:{_spelled}))*\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -150,12 +157,12 @@ def _spell(m: re.Match, text: str) -> str | None:
     return "+" * plus + digits
 
 
-def disguised_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def disguised_spans(text: str, base: list[tuple[int, int, str]], labels: tuple[str, ...] = TOP_LABELS) -> list[tuple[int, int, str]]:
     """Spans that the patterns find once the text is normalised and that no base span of their kind holds."""
     tape = Tape(text.translate(HOMOGLYPHS))
     tape.rewrite(_INVISIBLE, lambda m: "")
     tape.rewrite(_BRACKETED_AT, lambda m: "@")
-    tape.rewrite(_BARE_AT, lambda m: "@")
+    tape.rewrite(_bare_at(labels), lambda m: "@")
     tape.rewrite(_ANY_DOT, lambda m: ".")
     for _ in range(2):  # a digit word may stand beside one that the first round has rewritten
         tape.rewrite(_SPELLED, lambda m: _spell(m, tape.text))
@@ -174,7 +181,7 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def _scan(key: str, text: str):
+def _scan(key: str, text: str, labels: tuple[str, ...] = TOP_LABELS):
     def run(batches):
         for batch in slices(batches, text):
             texts = pc.fill_null(batch.column(text), "")
@@ -187,7 +194,7 @@ def _scan(key: str, text: str):
                     continue
                 whole = texts[k].as_py()
                 base = base_spans(whole) if plain[k] else []
-                spans = sorted({*base, *(disguised_spans(whole, base) if hidden[k] else ())}, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+                spans = sorted({*base, *(disguised_spans(whole, base, labels) if hidden[k] else ())}, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
                 kinds = [x[2] for x in base]
                 rows.append((*map(kinds.count, KINDS), _joined(base), _joined(spans)))
             columns = [list(x) for x in zip(*rows)]
@@ -200,11 +207,14 @@ def _scan(key: str, text: str):
     return run
 
 
-def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: counts of base spans by kind, the SHA-256 of the base spans, and all spans (code points, end exclusive)."""
+def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", labels: tuple[str, ...] = TOP_LABELS) -> DataFrame:
+    """Per row: counts of base spans by kind, the SHA-256 of the base spans, and all spans (code points, end exclusive).
+
+    labels: last labels of addresses whose "at" has no brackets.
+    """
     session(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(tidy(_scan(key, text)), f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(key, text).mapInArrow(tidy(_scan(key, text, labels)), f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: str) -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import let, session, stored, tidy
-from .exchange import bucket_bits, dealt, grouped
+from .exchange import bucket_bits, dealt, grouped, ranges
 from .fm_index import FMIndex
 from .words import SPACE_WORDS, Texts, Windows, mix, slices, window_starts
 
@@ -124,9 +124,8 @@ def _send(bits: int):
             anchor, content, own = seg.anchor[mine], seg.content[mine], seg.own[mine]
             bucket = (anchor >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-            for b in np.unique(bucket).tolist():
-                at = order[edges[b] : edges[b + 1]]
+            for b, i, j in ranges(bucket[order]):
+                at = order[i:j]
                 out.append((b, base + k, at.astype("<i4").tobytes(), anchor[at].astype("<u8").tobytes() + content[at].astype("<u8").tobytes() + own[at].astype(np.uint8).tobytes()))
             yield _batch(out, _ROW)
 

@@ -147,6 +147,27 @@ def test_jaccard_rows(spark):
     assert kept == [3, 5, 5, 7, None]
 
 
+def test_jaccard_ids_with_two_texts(spark):
+    """Texts under one id are sets of their own, and both find their links."""
+    a, b = (" ".join(f"{c}{k}" for k in range(80)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (3, b + " more"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.join(docs).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (3, 1)]
+    assert sorted((r.doc_id or 0, r.text) for r in jaccard.keep_one(docs).collect()) == [(0, a), (1, a), (1, b)]
+
+
+def test_blocks_of_a_bucket(spark, monkeypatch):
+    """A bucket that is compared block by block gives the same components."""
+    from gramlode.llm import linkage
+
+    monkeypatch.setattr(linkage, "BLOCK", 3)
+    n = 40
+    keys = spark.createDataFrame([(k % 2, k, k) for k in range(n)] + [(5, 3, 3), (5, 4, 4)], "key long, id long, rank long")
+    verify = lambda pairs: pairs.withColumn("linked", __import__("pyspark").sql.functions.expr("abs(a - b) = 4 or (a + b) = 7"))
+    got = {r.id: r.component for r in linkage.link(keys, lambda ids: verify, lambda x, y: __import__("pyspark").sql.functions.lit(True), ["rank"]).collect()}
+    assert got == {k: (0 if k % 4 == 0 else 1 if k % 4 == 1 else 2 if k % 4 == 2 else 0) for k in range(n)}
+
+
 def test_prefix_is_long_enough():
     for n in range(1, 60):
         assert jaccard.allowed(n) == n - math.ceil(0.75 * n)

@@ -403,3 +403,47 @@ def test_pipeline(spark, tmp_path):
         assert step.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     for _, stage in corpus_pipeline.STAGES:  # empty tables
         assert stage(spark, step.limit(0), str(tmp_path)).count() == 0
+
+
+# --- op4, properties
+
+
+def contract_spans(text):
+    """The contract's patterns as they are written, with their checks."""
+    import re
+
+    def luhn(d):
+        s = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(d))]
+        return sum(x - 9 * (x > 9) for x in s) % 10 == 0
+
+    digits = lambda x: "".join(re.findall("[0-9]", x))
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda x: 14 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 10 <= len(digits(x)) <= 15),
+    }
+    found = [(m.start(), m.end(), kind) for kind, (pattern, ok) in kinds.items() for m in re.finditer(pattern, text) if ok(m[0])]
+    return sorted(found, key=lambda x: (x[0], pii.KINDS.index(x[2]), x[1]))
+
+
+def test_base_spans_are_those_of_the_patterns():
+    r = random.Random(9)
+    parts = ["a", "b.c", "@", ".", "-", " ", "1", "22", "255", "256", "+", "+49", "(", ")", "4111 1111 1111 1111", "378282246310005", "x@y.z", "..", "é", "%", "0"]
+    for _ in range(30_000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(1, 14)))
+        assert pii.base_spans(text) == contract_spans(text), text
+
+
+def test_gate_lets_every_disguise_pass():
+    """The scan of a batch gives what the transducers give without a gate, on random disguised text."""
+    import pyarrow as pa
+
+    r = random.Random(10)
+    parts = ["john", "doe", " at ", " dot ", "(at)", "[dot]", "example", "com", "one", "two", "three", " ", "-", ".", " ", "–", "‑", "４", "1", "9", "O", "l", "plus", "+", "о", "​", "{ . }", " ", "zero", "192", "4111"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 16))) for _ in range(20_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    got = [x for b in pii._scan("doc_id", "text")(iter([batch])) for x in b.column("spans").to_pylist()]
+    for text, spans in zip(texts, got):
+        base = pii.base_spans(text)
+        assert spans == pii._joined(sorted({*base, *pii.disguised_spans(text, base)}, key=lambda x: (x[0], pii.KINDS.index(x[2]), x[1]))), text
