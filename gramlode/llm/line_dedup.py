@@ -131,9 +131,9 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     classes = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.count("*").alias("count")), "line-classes")
     # keys leave with nothing but the class; most are in one class only and go no further
     fuzzy = whole.where(F.col("n") >= LEAST_WORDS).select("h", gram_keys(F.col("words")).alias("keys"))
-    spread = fuzzy.groupBy("h").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "h").repartition("key")
-    shared = spread.groupBy("key").agg(F.min("h").alias("_lo"), F.max("h").alias("_hi")).where("_lo < _hi").select("key")
-    met = stored(spread.join(shared, "key").dropDuplicates(["key", "h"]), "shared-keys")
+    dealt = fuzzy.groupBy("h").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "h").repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("h").alias("_lo"), F.max("h").alias("_hi")).where("_lo < _hi").select("key")
+    met = stored(dealt.join(shared, "key").dropDuplicates(["key", "h"]), "shared-keys")
     near = stored(classes.join(met.select("h").distinct(), "h", "left_semi"), "near-classes")
     # the most frequent class of a bucket leads: of many variants it is the one that they vary
     keys = met.join(near, "h").select("key", F.col("h").alias("id"), (-F.col("count")).alias("rank"), "n", "parity")
