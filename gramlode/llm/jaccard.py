@@ -234,7 +234,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("sig").alias("a"), F.col("n_shingles").alias("na"), F.col("tokens").alias("ta"))
         b = sets.select(F.col("sig").alias("b"), F.col("n_shingles").alias("nb"), F.col("tokens").alias("tb"))
-        both = spread(spread(pairs, b, "b", "a"), a, "a", "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("i"))
+        both = spread(spread(pairs, b, "b", "a"), a, "a", "b", counted=pairs).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("i"))
         union = F.col("na") + F.col("nb") - F.col("i")
         return both.select("a", "b", (DEN * F.col("i") >= NUM * union).alias("linked"), F.col("i").alias("common"))
 

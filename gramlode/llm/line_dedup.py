@@ -155,7 +155,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         def verify(pairs: DataFrame) -> DataFrame:
             a, b = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
             edits = F.expr("levenshtein(la, lb, cast(greatest(length(la), length(lb)) div 10 as int))")
-            return spread(spread(pairs, b, "b", "a"), a, "a", "b").select("a", "b", (edits >= 0).alias("linked")).dropDuplicates(["a", "b"])
+            return spread(spread(pairs, b, "b", "a"), a, "a", "b", counted=pairs).select("a", "b", (edits >= 0).alias("linked")).dropDuplicates(["a", "b"])
 
         return verify
 

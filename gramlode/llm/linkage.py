@@ -50,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
         found = roots(left.groupBy("a").agg(F.min("b").alias("to")))
         hooks = found if hooks is None else hooks.unionByName(found)
         other = found.select(F.col("a").alias("b"), F.col("to").alias("b_to"))
-        moved = spread(spread(left, found, "a", "b"), other, "b", "a", "left").select(F.col("to").alias("x"), F.coalesce("b_to", "b").alias("y"))
+        moved = spread(spread(left, found, "a", "b"), other, "b", "a", "left", left).select(F.col("to").alias("x"), F.coalesce("b_to", "b").alias("y"))
         rest = stored(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a > b").distinct(), "edges")
         discard(left)
         left = rest
