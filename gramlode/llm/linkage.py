@@ -2,7 +2,8 @@
 
 Nothing here emits all pairs of a bucket. Every member is compared with one leader first; what that
 links becomes one component, and only members of different components are compared after that, in blocks of a
-bucket so that no task has all of a large one. Joins on a hub of many links are salted. Each round is written to the
+bucket so that no task has all of a large one. Pairs and buckets of a hub are salted; the trees of components are
+joined by their ids alone, 16 bytes a row, which a hub isn't split for. Each round is written to the
 shared folder, so a lost executor costs no more than a round; tables of earlier rounds are deleted.
 
 Nulls: ids and keys must not be null. Empty inputs give empty results.
@@ -26,8 +27,7 @@ def roots(forest: DataFrame) -> DataFrame:
     before = None
     while True:
         up = forest.select(F.col("a").alias("to"), F.col("to").alias("up"))
-        joined = spread(forest, up, "to", "a", "left")
-        jumped = stored(joined.select("a", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")), "forest")
+        jumped = stored(forest.join(up, "to", "left").select("a", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")), "forest")
         if before is not None:
             discard(before)
         forest, before = jumped.drop("moved"), jumped
@@ -50,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
         found = roots(left.groupBy("a").agg(F.min("b").alias("to")))
         hooks = found if hooks is None else hooks.unionByName(found)
         other = found.select(F.col("a").alias("b"), F.col("to").alias("b_to"))
-        moved = spread(spread(left, found, "a", "b"), other, "b", "a", "left", left).select(F.col("to").alias("x"), F.coalesce("b_to", "b").alias("y"))
+        moved = left.join(found, "a").join(other, "b", "left").select(F.col("to").alias("x"), F.coalesce("b_to", "b").alias("y"))
         rest = stored(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a > b").distinct(), "edges")
         discard(left)
         left = rest
@@ -90,14 +90,16 @@ def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame],
     # round 2: members of different components that share a key
     near = judged.select(F.col("b").alias("id"), F.col("a").alias("near"), *(c for c in judged.columns if c not in ("a", "b", "linked")))
     sides = keys.select("key", "id", *extra).join(found, "id", "left").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sides = stored(sides if detail is None else sides.join(detail, "id"), "sides")
+    sides = stored(sides, "sides")
     mixed = sides.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_members")).where("_lo < _hi")
     mixed = mixed.select("key", F.ceil(F.col("_members") / BLOCK).alias("_blocks"))
     # of b blocks, each cell (i, j) has the members of i and j, and compares those of i with those of j
-    cells = spread(sides, mixed, "key", "id").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
-    cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    cells = cells.withColumn("_cell", F.xxhash64("key", F.least("_block", "_other"), F.greatest("_block", "_other")))
-    x, y = cells.alias("x"), cells.alias("y")
+    cells = spread(sides, mixed, "key", "id")
+    cells = stored(cells if detail is None else cells.join(detail, "id"), "cells")
+    pieces = cells.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    pieces = pieces.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    pieces = pieces.withColumn("_cell", F.xxhash64("key", F.least("_block", "_other"), F.greatest("_block", "_other")))
+    x, y = pieces.alias("x"), pieces.alias("y")
     on = (F.col("x._cell") == F.col("y._cell")) & (F.col("x.key") == F.col("y.key")) & (F.col("x._other") == F.col("y._block")) & (F.col("x._block") == F.col("y._other"))
     on = on & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & admit("x", "y")
     if apart is not None:
@@ -114,5 +116,5 @@ def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame],
         rest = stored(verify(pairs), "rest-pairs")
         out = stored(components(star.unionByName(rest.where("linked").select("a", "b"))), "components")
         discard(rest, found)
-    discard(buckets, met, first, judged, sides, pairs)
+    discard(buckets, met, first, judged, sides, cells, pairs)
     return out
