@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as the next stage's documents. All stages but the last return the columns of `documents`.
 
 Nulls: documents with a null text have no words and go in the first stage. Empty tables stay empty; a
-document's further columns pass through all stages.
+document's further columns pass through all stages. Needs the subpackage gramlode.llm.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of equal or nearly equal lines one occurrence stays; documents without lines go."""
+    """Of each group of equal or nearly equal lines one occurrence stays; documents that lose over three quarters go."""
     return line_dedup.dedup(docs)
 
 
