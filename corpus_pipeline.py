@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of equal or nearly equal lines one occurrence stays; documents that lose over three quarters go."""
-    return line_dedup.dedup(docs)
+    return line_dedup.dedup(docs, most_lost=line_dedup.MOST_LOST)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
