@@ -33,7 +33,7 @@ from .common import discard, let, lookup, session, spread, stored
 BITS_APART, LEAST_BALANCED = 63, 0
 #: A line of fewer words can't be within a tenth of its words of another.
 LEAST_WORDS = 8
-#: Percent of its characters that a document can lose: near duplicates share three quarters.
+#: Percent of its characters that a document can lose in the pipeline: near duplicates share three quarters.
 MOST_LOST = 75
 #: Words of a run, bits of a key that hold its hash, and bits of a parity.
 GRAM, HASH_BITS, PARITY_BITS = 3, 55, 63
@@ -178,10 +178,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.join(gone, "row", "left").select("doc_id", "n_lines", F.size(numbers).cast("long").alias("n_removed"), numbers.alias("removed"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", most_lost: int = MOST_LOST) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", most_lost: int = 100) -> DataFrame:
     """The documents without the lines that go (n_chars follows); a document none of whose lines is left goes too.
 
-    So does one that loses more than `most_lost` percent of its characters: what is left of a copy is not a document.
+    So does one that loses more than `most_lost` percent of its characters, if that is under 100.
     """
     gone = removed(docs, key, text).select(F.col("row").alias("_row"), F.col("removed").alias("_removed"))
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), row_key(docs, key, text).alias("_row"))
