@@ -35,8 +35,8 @@ BITS_APART, LEAST_BALANCED = 63, 0
 LEAST_WORDS = 8
 #: Percent of its characters that a document can lose in the pipeline: near duplicates share three quarters.
 MOST_LOST = 75
-#: Words of a run, bits of a key that hold its hash, and bits of a parity.
-GRAM, HASH_BITS, PARITY_BITS = 3, 55, 63
+#: Words of a run, bits of a key that hold its hash, and the length from which words count as equally long.
+GRAM, HASH_BITS, LONGEST = 3, 55, 42
 #: Characters that words become for the edit distance: all from U+10000 on.
 CODES, FIRST_CODE = 1 << 20, 0x10000
 #: 63 bits as 9 longs of 7 counters; a counter of 9 bits takes up to CHUNK words, a quarter more for comparisons.
@@ -103,24 +103,28 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def gram_keys(words: Column) -> Column:
-    """The first runs of a line: lines within the edit bound have one in common."""
-    most = (1 << 63 - HASH_BITS) - 1
-
-    def ordered(at: Column) -> Column:
-        run = [F.get(words, at + k) for k in range(GRAM)]  # slice would copy the whole line for each run
-        rank = F.lit(most) - F.least(sum(map(F.octet_length, run), F.lit(0)), F.lit(most))
-        return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*run), 64 - HASH_BITS))
+    """The first runs of a line: lines within the edit bound have one in common.
 
+    A run's key is the sum of its words' numbers, which are the word's length above its hash: the order of the words in a
+    run doesn't count, and no word is hashed for more than one run.
+    """
     n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(0), n - GRAM), ordered)
+    numbers = F.transform(words, lambda w: F.shiftleft(F.least(F.octet_length(w), F.lit(LONGEST)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 66 - HASH_BITS)))
+
+    def sums(x: Column) -> Column:
+        out = F.slice(x, 1, n - (GRAM - 1))
+        for k in range(1, GRAM):
+            out = F.zip_with(out, F.slice(x, k + 1, n - (GRAM - 1)), lambda a, b: a + b)
+        return out
+
     # a longer line may allow one edit more; it is at least 10 - n % 10 words longer then, and has as many runs more
     more = F.greatest(F.lit(0), n % 10 + (GRAM - 10))
-    return F.slice(F.sort_array(runs), 1, F.expr("n div 10") * GRAM + 1 + more)
+    return F.slice(F.sort_array(let(numbers, sums), asc=False), 1, F.expr("n div 10") * GRAM + 1 + more)
 
 
 def parity(words: Column) -> Column:
-    """63 bits, of which each word flips one: k edits change at most 2 k of them."""
-    return F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(PARITY_BITS)).cast("int"))))
+    """64 bits, of which each word flips one: k edits change at most 2 k of them. (A shift counts modulo 64.)"""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(w))))
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
