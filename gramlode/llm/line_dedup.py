@@ -9,7 +9,8 @@ Every pair within that bound is compared. An edit changes at most GRAM of a line
 edits all but GRAM k runs of the longer line are in both. In any fixed order of the runs the first GRAM k + 1 of each
 line then have one in common: these are the join keys, and long words, which are rare, come first in the order. Keys
 travel with their line's hash only, and those of a single line go no further. Lines that meet are compared if their
-lengths allow it, and so do their parities.
+lengths allow it, and so do their parities. Where many lines meet, because they have a passage in common, their runs are
+counted and the rarest come first: what many of them share is then seldom among the first runs.
 
 Blocks of SimHash bits are not the keys, because they lose most such pairs: two lines of 10 to 40 words that differ in
 one word agree within 3 of 63 bits in 1 to 19 of 100 cases. `fingerprints` gives the SimHash of lines; links don't
@@ -102,6 +103,21 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return short.unionByName(long)
 
 
+def run_sums(numbers: Column) -> Column:
+    """The sums of all runs of GRAM numbers."""
+    n = F.size(numbers) - (GRAM - 1)
+    out = F.slice(numbers, 1, n)
+    for k in range(1, GRAM):
+        out = F.zip_with(out, F.slice(numbers, k + 1, n), lambda a, b: a + b)
+    return out
+
+
+def first_runs(n: Column) -> Column:
+    """How many of a line's runs, in any fixed order, two lines within the edit bound need to have one in common."""
+    # a longer line may allow one edit more; it is at least 10 - n % 10 words longer then, and has as many runs more
+    return F.floor(n / 10).cast("int") * GRAM + 1 + F.greatest(F.lit(0), n % 10 + (GRAM - 10))
+
+
 def gram_keys(words: Column) -> Column:
     """The first runs of a line: lines within the edit bound have one in common.
 
@@ -110,16 +126,24 @@ def gram_keys(words: Column) -> Column:
     """
     n = F.size(words)
     numbers = F.transform(words, lambda w: F.shiftleft(F.least(F.octet_length(w), F.lit(LONGEST)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 66 - HASH_BITS)))
-
-    def sums(x: Column) -> Column:
-        out = F.slice(x, 1, n - (GRAM - 1))
-        for k in range(1, GRAM):
-            out = F.zip_with(out, F.slice(x, k + 1, n - (GRAM - 1)), lambda a, b: a + b)
-        return out
-
-    # a longer line may allow one edit more; it is at least 10 - n % 10 words longer then, and has as many runs more
-    more = F.greatest(F.lit(0), n % 10 + (GRAM - 10))
-    return F.slice(F.sort_array(let(numbers, sums), asc=False), 1, F.expr("n div 10") * GRAM + 1 + more)
+    return F.slice(F.sort_array(let(numbers, run_sums), asc=False), 1, first_runs(n))
+
+
+def rare_keys(lines: DataFrame) -> DataFrame:
+    """(key, id): the first runs of coded lines (id, line), those in the fewest lines first, without those of a single line."""
+    numbers = F.transform(F.split("line", ""), lambda c: F.shiftrightunsigned(F.xxhash64(c), 3))
+    runs = lines.select("id", F.length("line").alias("n"), F.explode(let(numbers, run_sums)).alias("run"))
+    runs = stored(runs.groupBy("id", "n", "run").agg(F.count("*").cast("int").alias("times")), "line-runs")
+    shared = runs.groupBy("run").agg(F.count("*").alias("lines")).where("lines > 1").select("*", F.col("lines").alias("_rows"))
+    marked = lookup(runs, shared, "run", "_rows").where("lines is not null")
+    whole = marked.groupBy("id", "n").agg(F.sum("times").alias("known"), F.sort_array(F.collect_list(F.struct("lines", "run", "times"))).alias("runs"))
+    # runs of this line alone come before all others
+    left = (first_runs(F.col("n")) - (F.col("n") - (GRAM - 1) - F.col("known"))).cast("int")
+    ordered = F.flatten(F.transform("runs", lambda r: F.array_repeat(r["run"], r["times"])))
+    keys = whole.withColumn("_left", left).where("_left > 0").select(F.explode(F.array_distinct(F.slice(ordered, 1, F.col("_left")))).alias("key"), "id")
+    out = stored(keys, "rare-keys")
+    discard(runs)
+    return out
 
 
 def parity(words: Column) -> Column:
@@ -163,8 +187,15 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
         return verify
 
-    linked = linkage.link(keys, verifier, admit, ["rank", "n", "parity"])
-    discard(met, near, texts)
+    fresh: DataFrame | None = None
+
+    def refine(ids: DataFrame) -> DataFrame:
+        nonlocal fresh
+        fresh = rare_keys(texts.select(F.col("h").alias("id"), "line").join(ids, "id", "left_semi"))
+        return fresh
+
+    linked = linkage.link(keys, verifier, admit, ["rank", "n", "parity"], refine=refine)
+    discard(met, near, texts, fresh)
     grouped = classes.join(linked.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     grouped = stored(grouped.select("h", "component", "first", "count"), "line-groups")
     keep = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("count").alias("rows")).where("rows > 1").select("component", "keep")

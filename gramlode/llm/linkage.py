@@ -20,6 +20,8 @@ from .common import discard, spread, stored
 
 #: Members of a block: buckets with more are compared block by block.
 BLOCK = 1000
+#: Members of a crowded bucket, which `refine` deals anew.
+CROWD = 16
 
 
 def roots(forest: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
     return forest.select(F.col("a").alias("id"), F.col("to").alias("component")).unionByName(tops)
 
 
-def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], admit, extra: list[str], apart=None, detail: DataFrame | None = None, once=None) -> DataFrame:
+def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], admit, extra: list[str], apart=None, detail: DataFrame | None = None, once=None, refine=None) -> DataFrame:
     """(id, component) of the rows that verified links join.
 
     keys: (key, id, *extra), unique; two ids with a common key are compared unless a component already holds both.
@@ -74,6 +76,8 @@ def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame],
     leader, that only members of one leader that are not linked fulfil.
     detail: (id, ...), one row per id, whose columns `once` needs.
     once(x, y): a condition that holds for at most one common key of two members, and for one if they are linked.
+    refine(ids): (key, id), other keys for the members of crowded buckets; linked ids of which both are among `ids` have one in
+    common. Two ids that meet in no smaller bucket are both members of crowded ones, so no link is lost.
     """
     own = keys.select("key", F.struct(*extra, "id").alias("own"), F.col("id").alias("_by"))
     buckets = stored(own.groupBy("key").agg(F.min("own").alias("lead"), F.count("*").alias("_members")).where("_members > 1"), "buckets")
@@ -90,8 +94,16 @@ def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame],
     # round 2: members of different components that share a key
     near = judged.select(F.col("b").alias("id"), F.col("a").alias("near"), *(c for c in judged.columns if c not in ("a", "b", "linked")))
     sides = keys.select("key", "id", *extra).join(found, "id", "left").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sides = stored(sides, "sides")
+    sides = every = stored(sides, "sides")
     mixed = sides.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_members")).where("_lo < _hi")
+    fresh = None
+    if refine is not None:
+        crowded = mixed.where(F.col("_members") > CROWD).select("key")
+        members = sides.join(crowded, "key", "left_semi").drop("key").dropDuplicates(["id"])
+        # a key of the new order is no key of the old one
+        fresh = stored(refine(members.select("id")).select(F.xxhash64("key", F.lit(CROWD)).alias("key"), "id").join(members, "id"), "fresh-sides")
+        sides = sides.join(mixed.where(F.col("_members") <= CROWD).select("key"), "key", "left_semi").unionByName(fresh)
+        mixed = sides.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_members")).where("_lo < _hi")
     mixed = mixed.select("key", F.ceil(F.col("_members") / BLOCK).alias("_blocks"))
     # of b blocks, each cell (i, j) has the members of i and j, and compares those of i with those of j
     cells = spread(sides, mixed, "key", "id")
@@ -116,5 +128,5 @@ def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame],
         rest = stored(verify(pairs), "rest-pairs")
         out = stored(components(star.unionByName(rest.where("linked").select("a", "b"))), "components")
         discard(rest, found)
-    discard(buckets, met, first, judged, sides, cells, pairs)
+    discard(buckets, met, first, judged, every, cells, pairs, *(() if fresh is None else (fresh,)))
     return out

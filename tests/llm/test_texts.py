@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from gramlode.llm import html_text, line_dedup, pieces, pii, warc
+from gramlode.llm import html_text, line_dedup, linkage, pieces, pii, warc
 
 # --- op1
 
@@ -221,6 +221,26 @@ def test_fuzzy_lines(spark):
     assert sum(map(len, kept.values())) == len(lines) - len(want)
 
 
+@pytest.mark.parametrize("crowd", [2, 16])
+def test_lines_around_one_passage(spark, monkeypatch, crowd):
+    """Lines that share a long passage meet by their rarest runs; the links are those of all pairs by brute force."""
+    monkeypatch.setattr(linkage, "CROWD", crowd)
+    r = random.Random(3)
+    some = lambda n: [f"{r.choice('abcdef')}{r.randrange(400)}" for _ in range(n)]
+    passages, lines = [some(50), some(25)], []
+    for k in range(60):
+        base = some(r.randrange(0, 130)) + passages[k % 2] + some(r.randrange(0, 40))
+        for _ in range(r.choice([1, 1, 2, 3, 5])):
+            z = list(base)
+            for _ in range(r.randrange(0, max(1, len(z) // 8))):
+                z[r.randrange(len(z))] = some(1)[0]
+            lines.append(z if r.random() < 0.7 else z[:-1])
+    lines = [" ".join(x) for x in lines]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id for x in line_dedup.judge(docs).collect() if x.n_removed}
+    assert got == gone_by_edits(lines) and got
+
+
 def word_edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
