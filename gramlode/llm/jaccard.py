@@ -252,8 +252,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         both = F.array_intersect(f"{x}.prefix", f"{y}.prefix")
         return (F.array_min(both) == F.col(f"{x}.key")) & (F.size(both) >= F.least(f"{x}.matches", f"{y}.matches"))
 
-    prefixes = sets.select(F.col("sig").alias("id"), F.slice("tokens", 1, F.col("n_prefix")).alias("prefix"))
-    linked = linkage.link(keys, verifier, admit, ["own_shingles", "shared", "n", "matches"], apart, prefixes, once)
+    linked = linkage.link(keys, verifier, admit, ["own_shingles", "shared", "n", "matches"], apart, once)
     sizes = found.groupBy("sig").agg(F.count("*").alias("_rows"), F.min("class_id").alias("_class"))
     classes = linked.select(F.col("id").alias("sig"), F.col("component").alias("_set")).join(sizes, "sig")
     first = classes.groupBy("_set").agg(F.min("_class").alias("component"))

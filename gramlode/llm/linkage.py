@@ -64,7 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
     return forest.select(F.col("a").alias("id"), F.col("to").alias("component")).unionByName(tops)
 
 
-def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], admit, extra: list[str], apart=None, detail: DataFrame | None = None, once=None, refine=None) -> DataFrame:
+def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], admit, extra: list[str], apart=None, once=None, refine=None) -> DataFrame:
     """(id, component) of the rows that verified links join.
 
     keys: (key, id, *extra), unique; two ids with a common key are compared unless a component already holds both.
@@ -74,8 +74,8 @@ def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame],
     admit(x, y): a condition on the extra columns of both sides that every link fulfils.
     apart(x, y): a condition on the extra columns and on the facts of both sides' comparison with their
     leader, that only members of one leader that are not linked fulfil.
-    detail: (id, ...), one row per id, whose columns `once` needs.
-    once(x, y): a condition that holds for at most one common key of two members, and for one if they are linked.
+    once(x, y): a condition that holds for at most one common key of two members, and for one if they are linked; each side
+    has in `prefix` those of its keys that members of several components have, among which all common keys are.
     refine(ids): (key, id), other keys for the members of crowded buckets; linked ids of which both are among `ids` have one in
     common. Two ids that meet in no smaller bucket are both members of crowded ones, so no link is lost.
     """
@@ -107,8 +107,9 @@ def link(keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame],
     mixed = mixed.select("key", F.ceil(F.col("_members") / BLOCK).alias("_blocks"))
     # of b blocks, each cell (i, j) has the members of i and j, and compares those of i with those of j
     cells = spread(sides, mixed, "key", "id")
-    cells = stored(cells if detail is None else cells.join(detail, "id"), "cells")
-    pieces = cells.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    cells = stored(cells, "cells")
+    pieces = cells if once is None else cells.join(cells.groupBy("id").agg(F.collect_set("key").alias("prefix")), "id")
+    pieces = pieces.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
     pieces = pieces.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     pieces = pieces.withColumn("_cell", F.xxhash64("key", F.least("_block", "_other"), F.greatest("_block", "_other")))
     x, y = pieces.alias("x"), pieces.alias("y")
