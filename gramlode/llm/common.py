@@ -93,13 +93,16 @@ def lookup(rows: DataFrame, unique: DataFrame, key: str, counts: str) -> DataFra
     return warm.unionByName(cool)
 
 
-def spread(rows: DataFrame, unique: DataFrame, key: str, by: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+def spread(rows: DataFrame, unique: DataFrame, key: str, by: str, how: str = "inner", counted: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Join of `rows` to one row per key, safe for keys with a large share of the rows and for wide rows of `unique`.
 
     A key with 1/HOT_SHARE of the rows or more is salted by the column `by`, in parts of about that share, and its row
-    of `unique` goes to each part. `counted` says how often keys occur, for rows that are costly to run twice. Only the at most HOT_SHARE such keys and their numbers of parts are broadcast.
+    of `unique` goes to each part. `counted` says how often keys occur, for rows that are costly to run twice, and `counts`
+    (key, _n) where that is known: the rows are not shuffled to count them then. Only the at most HOT_SHARE such keys and
+    their numbers of parts are broadcast.
     """
-    counts = (rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n"))
+    if counts is None:
+        counts = (rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.greatest(F.coalesce(F.sum("_n"), F.lit(0)), F.lit(HOT_SHARE * 100)).alias("_total"))
     hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * HOT_SHARE >= F.col("_total")).select(key, F.ceil(F.col("_n") * HOT_SHARE / F.col("_total")).alias("_parts"))
     found = hot.collect()  # at most HOT_SHARE rows

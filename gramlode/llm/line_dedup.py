@@ -9,8 +9,9 @@ Every pair within that bound is compared. An edit changes at most GRAM of a line
 edits all but GRAM k runs of the longer line are in both. In any fixed order of the runs the first GRAM k + 1 of each
 line then have one in common: these are the join keys, and long words, which are rare, come first in the order. Keys
 travel with their line's hash only, and those of a single line go no further. Lines that meet are compared if their
-lengths allow it, and so do their parities. Where many lines meet, because they have a passage in common, their runs are
-counted and the rarest come first: what many of them share is then seldom among the first runs.
+lengths allow it, and so do their parities, those in 256 bits for all but the leaders of a bucket. Where very many lines
+meet, because they have a passage in common, their runs are counted and the rarest come first: what many of them share is
+then seldom among the first runs.
 
 Blocks of SimHash bits are not the keys, because they lose most such pairs: two lines of 10 to 40 words that differ in
 one word agree within 3 of 63 bits in 1 to 19 of 100 cases. `fingerprints` gives the SimHash of lines; links don't
@@ -146,22 +147,47 @@ def rare_keys(lines: DataFrame) -> DataFrame:
     return out
 
 
+def flips(n: Column, m: Column) -> Column:
+    """The most bits in which the parities of linked lines of n and m words differ: an added or dropped word flips one, a changed one two."""
+    return 2 * F.floor(F.greatest(n, m) / 10) - F.abs(n - m)
+
+
 def parity(words: Column) -> Column:
     """64 bits, of which each word flips one: k edits change at most 2 k of them. (A shift counts modulo 64.)"""
     return F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(w))))
 
 
+#: Columns of a coded line's parities in 256 bits: with 64, lines of many words that are far apart often seem near.
+_WIDE = [f"wide{j}" for j in range(4)]
+
+
+def wide_parity(line: Column) -> list[Column]:
+    """The columns _WIDE of a coded line: each character flips one of their bits, so k edits change at most 2 k of them."""
+    places = F.transform(F.split(line, ""), lambda c: F.hash(c).bitwiseAND(F.lit(64 * len(_WIDE) - 1)))
+
+    def lane(j: int) -> Column:
+        mine = lambda x, p: F.when(F.shiftright(p, 6) == j, x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), p))).otherwise(x)
+        return let(places, lambda a: F.aggregate(a, F.lit(0).cast("long"), mine))
+
+    return [lane(j).alias(c) for j, c in enumerate(_WIDE)]
+
+
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, removed): line numbers that go, for every row key with any."""
     session(docs.sparkSession)
-    whole = lines(docs, key, text).select("doc_id", "row", "pos", "words", F.size("words").alias("n"), F.xxhash64("words").alias("h"))
-    found = stored(whole.where("n > 0").select("doc_id", "row", "pos", "h", "n", parity(F.col("words")).alias("parity")), "lines")
+    # one pass over the words: a filter before the table is written would split each line a second time
+    words, n = F.col("words"), F.size("words")
+    whole = lines(docs, key, text).select("doc_id", "row", "pos", F.xxhash64("words").alias("h"), n.alias("n"), parity(words).alias("parity"), F.when(n >= LEAST_WORDS, gram_keys(words)).alias("keys"))
+    every = stored(whole, "lines-and-keys")
+    found = every.where("n > 0").drop("keys")
     classes = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.count("*").alias("count")), "line-classes")
     # keys leave with nothing but the class; most are in one class only and go no further
-    fuzzy = whole.where(F.col("n") >= LEAST_WORDS).select("h", gram_keys(F.col("words")).alias("keys"))
-    dealt = fuzzy.groupBy("h").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "h").repartition("key")
+    fuzzy = every.where("keys is not null").groupBy("h").agg(F.first("keys").alias("keys"))
+    dealt = fuzzy.select(F.explode("keys").alias("key"), "h").repartition("key")
     shared = dealt.groupBy("key").agg(F.min("h").alias("_lo"), F.max("h").alias("_hi")).where("_lo < _hi").select("key")
-    met = stored(dealt.join(shared, "key").dropDuplicates(["key", "h"]), "shared-keys")
+    met = stored(dealt.join(shared.hint("shuffle_hash"), "key").dropDuplicates(["key", "h"]), "shared-keys")
+    found = stored(found, "lines")
+    discard(every)
     near = stored(classes.join(met.select("h").distinct(), "h", "left_semi"), "near-classes")
     # the most frequent class of a bucket leads: of many variants it is the one that they vary
     keys = met.join(near, "h").select("key", F.col("h").alias("id"), (-F.col("count")).alias("rank"), "n", "parity")
@@ -170,15 +196,14 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     def admit(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        edits = F.floor(F.greatest(n, m) / 10)
-        return (F.abs(n - m) <= edits) & (F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= 2 * edits)
+        return (F.abs(n - m) <= F.floor(F.greatest(n, m) / 10)) & (F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= flips(n, m))
 
     def verifier(ids: DataFrame):
         at = near.join(ids, near["h"] == ids["id"]).groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("at"))
         whole = docs.select(row_key(docs, key, text).alias("row"), F.col(text).alias("_text"))
         picked = whole.join(at, "row").select(let(F.split("_text", "\n"), lambda a: F.transform("at", lambda p: F.struct(p["h"].alias("h"), coded(normal_words(F.get(a, p["pos"]))).alias("line")))).alias("got"))
         nonlocal texts
-        texts = stored(picked.select(F.explode("got").alias("g")).select("g.h", "g.line"), "candidate-lines")
+        texts = stored(picked.select(F.explode("got").alias("g")).select("g.h", "g.line", *wide_parity(F.col("g.line"))), "candidate-lines")
 
         def verify(pairs: DataFrame) -> DataFrame:
             a, b = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
@@ -194,8 +219,15 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         fresh = rare_keys(texts.select(F.col("h").alias("id"), "line").join(ids, "id", "left_semi"))
         return fresh
 
-    linked = linkage.link(keys, verifier, admit, ["rank", "n", "parity"], refine=refine)
-    discard(met, near, texts, fresh)
+    def sketch() -> DataFrame:
+        return texts.select(F.col("h").alias("id"), *_WIDE)
+
+    def alike(x: str, y: str) -> Column:
+        apart = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in _WIDE]
+        return sum(apart[1:], apart[0]) <= flips(F.col(f"{x}.n"), F.col(f"{y}.n"))
+
+    linked = linkage.link(keys, verifier, admit, ["rank", "n", "parity"], refine=refine, sketch=sketch, alike=alike)
+    discard(met, near, texts, *(() if fresh is None else (fresh,)))
     grouped = classes.join(linked.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     grouped = stored(grouped.select("h", "component", "first", "count"), "line-groups")
     keep = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("count").alias("rows")).where("rows > 1").select("component", "keep")

@@ -241,6 +241,27 @@ def test_lines_around_one_passage(spark, monkeypatch, crowd):
     assert got == gone_by_edits(lines) and got
 
 
+def test_parities_hold_back_long_lines(spark, monkeypatch):
+    """Long lines that share a passage and nothing else meet in a bucket, but no pair of them is compared as a candidate."""
+    r = random.Random(23)
+    passage = [f"passage{k}" for k in range(200)]
+    lines = [" ".join(passage + [f"x{r.randrange(10**6)}" for _ in range(200)]) for _ in range(14)]
+    lines += [lines[3].replace("passage7 ", "other ", 1), lines[9].replace("passage11 passage12 ", "passage11 ", 1)]
+    compared, stored = [], linkage.stored
+
+    def counting(df, name):
+        out = stored(df, name)
+        if name == "rest":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(linkage, "stored", counting)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id for x in line_dedup.judge(docs).collect() if x.n_removed}
+    assert got == gone_by_edits(lines) == {14, 15}
+    assert sum(compared) <= 2
+
+
 def word_edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
