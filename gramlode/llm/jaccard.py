@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linkage
-from .common import lookup, session, spread, stored, tidy
+from .common import discard, lookup, session, spread, stored, tidy
 from .exchange import bucket_count, bucket_of, dealt, grouped, ranges
 from .words import SPACE_WORDS, Texts, Windows, mix, slices, window_starts
 
@@ -225,7 +225,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row."""
     found = profile(docs, key, text)
     # sets are told apart by their signatures: an id can have several texts
-    sets = found.where("tokens is not null").dropDuplicates(["sig"]).select("sig", "n_shingles", "tokens", "n_prefix", "matches")
+    sets = stored(found.where("tokens is not null").dropDuplicates(["sig"]).select("sig", "n_shingles", "tokens", "n_prefix", "matches"), "sets")
     keys = sets.select(F.explode(F.slice("tokens", 1, F.col("n_prefix"))).alias("key"), F.col("sig").alias("id"), (F.col("n_shingles") - F.size("tokens")).alias("own_shingles"), F.size("tokens").cast("long").alias("shared"), F.col("n_shingles").alias("n"), "matches")
 
     def verifier(ids: DataFrame):
@@ -253,6 +253,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         return (F.array_min(both) == F.col(f"{x}.key")) & (F.size(both) >= F.least(f"{x}.matches", f"{y}.matches"))
 
     linked = linkage.link(keys, verifier, admit, ["own_shingles", "shared", "n", "matches"], apart, once)
+    discard(sets)
     sizes = found.groupBy("sig").agg(F.count("*").alias("_rows"), F.min("class_id").alias("_class"))
     classes = linked.select(F.col("id").alias("sig"), F.col("component").alias("_set")).join(sizes, "sig")
     first = classes.groupBy("_set").agg(F.min("_class").alias("component"))

@@ -168,6 +168,29 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
     assert got == {k: (0 if k % 4 == 0 else 1 if k % 4 == 1 else 2 if k % 4 == 2 else 0) for k in range(n)}
 
 
+def test_pairs_take_one_exchange(spark, monkeypatch):
+    """Both sides of the join of a bucket's members are dealt by the cell alone, so one exchange serves both."""
+    import re
+
+    from gramlode.llm import linkage
+    from pyspark.sql import functions as F
+
+    plans, stored = [], linkage.stored
+
+    def seen(df, name):
+        if name == "rest":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(linkage, "stored", seen)
+    keys = spark.createDataFrame([(k % 4, k, 0) for k in range(40)], "key long, id long, rank int")
+    verify = lambda pairs: pairs.select("a", "b", (F.col("a") % 8 == F.col("b") % 8).alias("linked"))
+    got = {x.id: x.component for x in linkage.link(keys, lambda ids: verify, lambda x, y: F.lit(True), ["rank"]).collect()}
+    assert all(got.get(k, k) == k % 8 for k in range(40))
+    dealt = re.findall(r"hashpartitioning\(_cell#\d+L?([^)]*)\)", plans[0])
+    assert dealt and all(re.fullmatch(r", \d+", x) for x in dealt)
+
+
 def test_prefix_is_long_enough():
     for n in range(1, 60):
         assert jaccard.allowed(n) == n - math.ceil(0.75 * n)
