@@ -21,7 +21,7 @@ from .common import discard, spread, stored
 #: Members of a block: buckets with more are compared block by block.
 BLOCK = 1000
 #: Buckets with more members are crowded: `refine` deals them anew.
-CROWD = 256
+CROWD = 64
 
 
 def roots(forest: DataFrame) -> DataFrame:
