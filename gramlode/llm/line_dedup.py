@@ -9,9 +9,10 @@ Every pair within that bound is compared. An edit changes at most GRAM of a line
 edits all but GRAM k runs of the longer line are in both. In any fixed order of the runs the first GRAM k + 1 of each
 line then have one in common: these are the join keys, and long words, which are rare, come first in the order. Keys
 travel with their line's hash only, and those of a single line go no further. Lines that meet are compared if their
-lengths allow it, and so do their parities, those in 256 bits for all but the leaders of a bucket. Where very many lines
-meet, because they have a passage in common, their runs are counted and the rarest come first: what many of them share is
-then seldom among the first runs.
+lengths allow it, and so do their parities, those in 256 bits for all but the leaders of a bucket. A line that no other
+line of its bucket can be linked to by lengths and parities leaves the bucket before any text is read again; buckets of
+over SCAN lines keep all of theirs. Where very many lines meet, because they have a passage in common, their runs are
+counted and the rarest come first: what many of them share is then seldom among the first runs.
 
 Blocks of SimHash bits are not the keys, because they lose most such pairs: two lines of 10 to 40 words that differ in
 one word agree within 3 of 63 bits in 1 to 19 of 100 cases. `fingerprints` gives the SimHash of lines; links don't
@@ -25,7 +26,7 @@ columns pass through `dedup`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import linkage
@@ -39,22 +40,30 @@ LEAST_WORDS = 8
 MOST_LOST = 75
 #: Words of a run, bits of a key that hold its hash, and the length from which words count as equally long.
 GRAM, HASH_BITS, LONGEST = 3, 55, 42
-#: Characters that words become for the edit distance: all from U+10000 on.
-CODES, FIRST_CODE = 1 << 20, 0x10000
+#: Characters that words become for the edit distance: all from U+10000 on, a power of two of them.
+CODES = 1 << 20
 #: 63 bits as 9 longs of 7 counters; a counter of 9 bits takes up to CHUNK words, a quarter more for comparisons.
 _LANES, _WIDTH, CHUNK = 7, 9, 200
 _ONES = sum(1 << _WIDTH * k for k in range(_LANES))
-SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII without letters and digits, one by one: Java looks such a class up in a table, and tests ranges one after the other.
+SEPARATORS = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+#: Lines of a bucket up to which each looks for one that it can be linked to; the square of it bounds the work on a bucket.
+SCAN = 4096
 
 
 def normal_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), SEPARATORS), "")
 
 
-def coded(words: Column) -> Column:
-    """A string with a character for each word."""
-    codes = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(CODES)) + FIRST_CODE), 8, "0"))
-    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+def codes(words: Column) -> Column:
+    """A number below CODES for each word."""
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(CODES - 1)))
+
+
+def coded(codes: Column) -> Column:
+    """A string with a character for each code, from U+10000 on: in UTF-16 two units of ten bits each, eight hex digits."""
+    units = F.transform(codes, lambda c: F.hex(F.shiftleft(c, 6).bitwiseAND(F.lit(0x3FF0000)) + c.bitwiseAND(F.lit(0x3FF)) + F.lit(0xD800DC00)))
+    return F.decode(F.unhex(F.array_join(units, "")), "UTF-16BE")
 
 
 def row_key(docs: DataFrame, key: str, text: str) -> Column:
@@ -105,12 +114,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def run_sums(numbers: Column) -> Column:
-    """The sums of all runs of GRAM numbers."""
-    n = F.size(numbers) - (GRAM - 1)
-    out = F.slice(numbers, 1, n)
-    for k in range(1, GRAM):
-        out = F.zip_with(out, F.slice(numbers, k + 1, n), lambda a, b: a + b)
-    return out
+    """The sums of all runs of GRAM numbers. (Never null, which lets Spark sort them as longs.)"""
+    first = F.slice(numbers, 1, F.size(numbers) - (GRAM - 1))
+    return F.transform(first, lambda x, i: F.coalesce(sum((F.get(numbers, i + k) for k in range(1, GRAM)), x), F.lit(0).cast("long")))
 
 
 def first_runs(n: Column) -> Column:
@@ -122,12 +128,12 @@ def first_runs(n: Column) -> Column:
 def gram_keys(words: Column) -> Column:
     """The first runs of a line: lines within the edit bound have one in common.
 
-    A run's key is the sum of its words' numbers, which are the word's length above its hash: the order of the words in a
-    run doesn't count, and no word is hashed for more than one run.
+    A run's key is the sum of its words' numbers, which are the word's hash less its length in higher bits: the order of the
+    words in a run doesn't count, and no word is hashed for more than one run.
     """
     n = F.size(words)
-    numbers = F.transform(words, lambda w: F.shiftleft(F.least(F.octet_length(w), F.lit(LONGEST)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 66 - HASH_BITS)))
-    return F.slice(F.sort_array(let(numbers, run_sums), asc=False), 1, first_runs(n))
+    numbers = F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 66 - HASH_BITS) - F.shiftleft(F.least(F.octet_length(w), F.lit(LONGEST)).cast("long"), HASH_BITS))
+    return F.slice(F.sort_array(let(numbers, run_sums)), 1, first_runs(n))
 
 
 def rare_keys(lines: DataFrame) -> DataFrame:
@@ -135,7 +141,8 @@ def rare_keys(lines: DataFrame) -> DataFrame:
     numbers = F.transform(F.split("line", ""), lambda c: F.shiftrightunsigned(F.xxhash64(c), 3))
     runs = lines.select("id", F.length("line").alias("n"), F.explode(let(numbers, run_sums)).alias("run"))
     runs = stored(runs.groupBy("id", "n", "run").agg(F.count("*").cast("int").alias("times")), "line-runs")
-    shared = runs.groupBy("run").agg(F.count("*").alias("lines")).where("lines > 1").select("*", F.col("lines").alias("_rows"))
+    counted = runs.groupBy("run").agg(F.count("*").alias("lines")).where("lines > 1")
+    shared = stored(counted.select("*", F.col("lines").alias("_rows")), "run-counts")  # `lookup` reads it three times
     marked = lookup(runs, shared, "run", "_rows").where("lines is not null")
     whole = marked.groupBy("id", "n").agg(F.sum("times").alias("known"), F.sort_array(F.collect_list(F.struct("lines", "run", "times"))).alias("runs"))
     # runs of this line alone come before all others
@@ -143,7 +150,7 @@ def rare_keys(lines: DataFrame) -> DataFrame:
     ordered = F.flatten(F.transform("runs", lambda r: F.array_repeat(r["run"], r["times"])))
     keys = whole.withColumn("_left", left).where("_left > 0").select(F.explode(F.array_distinct(F.slice(ordered, 1, F.col("_left")))).alias("key"), "id")
     out = stored(keys, "rare-keys")
-    discard(runs)
+    discard(runs, shared)
     return out
 
 
@@ -161,9 +168,9 @@ def parity(words: Column) -> Column:
 _WIDE = [f"wide{j}" for j in range(4)]
 
 
-def wide_parity(line: Column) -> list[Column]:
-    """The columns _WIDE of a coded line: each character flips one of their bits, so k edits change at most 2 k of them."""
-    places = F.transform(F.split(line, ""), lambda c: F.hash(c).bitwiseAND(F.lit(64 * len(_WIDE) - 1)))
+def wide_parity(codes: Column) -> list[Column]:
+    """The columns _WIDE of a line's codes: each flips one of their bits, so k edits change at most 2 k of them."""
+    places = F.transform(codes, lambda c: F.hash(c).bitwiseAND(F.lit(64 * len(_WIDE) - 1)))
 
     def lane(j: int) -> Column:
         mine = lambda x, p: F.when(F.shiftright(p, 6) == j, x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), p))).otherwise(x)
@@ -172,6 +179,20 @@ def wide_parity(line: Column) -> list[Column]:
     return [lane(j).alias(c) for j, c in enumerate(_WIDE)]
 
 
+def admit(x: str, y: str) -> Column:
+    """Whether the lengths and parities of two lines (n, parity) let them be linked."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (F.abs(n - m) <= F.floor(F.greatest(n, m) / 10)) & (F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= flips(n, m))
+
+
+def with_partners(keys: DataFrame) -> DataFrame:
+    """The rows of keys (key, id, rank, n, parity, _crowd) that `admit` lets be linked to another of their key, and all of a crowd."""
+    few = keys.where("not _crowd").drop("_crowd")
+    x, y = few.alias("x"), few.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & admit("x", "y")
+    return x.join(y, same, "left_semi").unionByName(keys.where("_crowd").drop("_crowd"))
+
+
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, removed): line numbers that go, for every row key with any."""
     session(docs.sparkSession)
@@ -179,31 +200,35 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     words, n = F.col("words"), F.size("words")
     whole = lines(docs, key, text).select("doc_id", "row", "pos", F.xxhash64("words").alias("h"), n.alias("n"), parity(words).alias("parity"), F.when(n >= LEAST_WORDS, gram_keys(words)).alias("keys"))
     every = stored(whole, "lines-and-keys")
-    found = every.where("n > 0").drop("keys")
-    classes = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.count("*").alias("count")), "line-classes")
+    found = every.where("n > 0")
+    keyed = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "pos", "row")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.count("*").alias("count"), F.first("keys").alias("keys")), "keyed-classes")
+    found = stored(found.select("doc_id", "row", "pos", "h"), "lines")
+    discard(every)
     # keys leave with nothing but the class; most are in one class only and go no further
-    fuzzy = every.where("keys is not null").groupBy("h").agg(F.first("keys").alias("keys"))
-    dealt = fuzzy.select(F.explode("keys").alias("key"), "h").repartition("key")
+    dealt = keyed.where("keys is not null").select(F.explode("keys").alias("key"), "h").repartition("key")
     shared = dealt.groupBy("key").agg(F.min("h").alias("_lo"), F.max("h").alias("_hi")).where("_lo < _hi").select("key")
-    met = stored(dealt.join(shared.hint("shuffle_hash"), "key").dropDuplicates(["key", "h"]), "shared-keys")
-    found = stored(found, "lines")
-    discard(every)
-    near = stored(classes.join(met.select("h").distinct(), "h", "left_semi"), "near-classes")
+    met = dealt.join(shared.hint("shuffle_hash"), "key").dropDuplicates(["key", "h"])
+    # near lines have many keys in common: a hash of all members is the bucket's name from here on, so that equal buckets are
+    # one. Should two others get one name, their members only meet once more.
+    bucket = Window.partitionBy("key")
+    met = met.select(F.bit_xor("h").over(bucket).alias("name"), "h", (F.count("*").over(bucket) > SCAN).alias("_crowd"))
+    met = stored(met.dropDuplicates().withColumnRenamed("name", "key"), "shared-keys")
+    classes = stored(keyed.drop("keys"), "line-classes")
+    discard(keyed)
     # the most frequent class of a bucket leads: of many variants it is the one that they vary
-    keys = met.join(near, "h").select("key", F.col("h").alias("id"), (-F.col("count")).alias("rank"), "n", "parity")
+    keys = met.join(classes, "h").select("key", F.col("h").alias("id"), (-F.col("count")).alias("rank"), "n", "parity", "_crowd")
+    keys = stored(with_partners(keys), "partners")
+    discard(met)
 
     texts: DataFrame | None = None
 
-    def admit(x: str, y: str) -> Column:
-        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        return (F.abs(n - m) <= F.floor(F.greatest(n, m) / 10)) & (F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= flips(n, m))
-
     def verifier(ids: DataFrame):
-        at = near.join(ids, near["h"] == ids["id"]).groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("at"))
+        at = classes.join(ids, classes["h"] == ids["id"]).groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("at"))
         whole = docs.select(row_key(docs, key, text).alias("row"), F.col(text).alias("_text"))
-        picked = whole.join(at, "row").select(let(F.split("_text", "\n"), lambda a: F.transform("at", lambda p: F.struct(p["h"].alias("h"), coded(normal_words(F.get(a, p["pos"]))).alias("line")))).alias("got"))
+        picked = whole.join(at, "row").select(let(F.split("_text", "\n"), lambda a: F.transform("at", lambda p: F.struct(p["h"].alias("h"), F.get(a, p["pos"]).alias("line")))).alias("got"))
+        facts = lambda c: F.struct(coded(c).alias("line"), *wide_parity(c))
         nonlocal texts
-        texts = stored(picked.select(F.explode("got").alias("g")).select("g.h", "g.line", *wide_parity(F.col("g.line"))), "candidate-lines")
+        texts = stored(picked.select(F.explode("got").alias("g")).select("g.h", let(codes(normal_words(F.col("g.line"))), facts).alias("f")).select("h", "f.*"), "candidate-lines")
 
         def verify(pairs: DataFrame) -> DataFrame:
             a, b = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
@@ -227,7 +252,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         return sum(apart[1:], apart[0]) <= flips(F.col(f"{x}.n"), F.col(f"{y}.n"))
 
     linked = linkage.link(keys, verifier, admit, ["rank", "n", "parity"], refine=refine, sketch=sketch, alike=alike)
-    discard(met, near, texts, *(() if fresh is None else (fresh,)))
+    discard(keys, texts, *(() if fresh is None else (fresh,)))
     grouped = classes.join(linked.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     grouped = stored(grouped.select("h", "component", "first", "count"), "line-groups")
     keep = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("count").alias("rows")).where("rows > 1").select("component", "keep")

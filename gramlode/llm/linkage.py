@@ -20,8 +20,9 @@ from .common import discard, spread, stored
 
 #: Members of a block: buckets with more are compared block by block.
 BLOCK = 1000
-#: Buckets with more members are crowded: `refine` deals them anew.
-CROWD = 64
+#: Buckets with more members are crowded: `refine` deals them anew. To count and deal a member's runs takes as long as to
+#: compare its sketch with some thousands of others.
+CROWD = 4096
 
 
 def roots(forest: DataFrame) -> DataFrame:

@@ -262,6 +262,62 @@ def test_parities_hold_back_long_lines(spark, monkeypatch):
     assert sum(compared) <= 2
 
 
+def rows_stored(monkeypatch, name):
+    """Gets the rows of the table that line_dedup stores under `name`."""
+    rows, stored = [], line_dedup.stored
+
+    def counting(df, called):
+        out = stored(df, called)
+        if called == name:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counting)
+    return rows
+
+
+def test_lines_without_partner_are_not_read(spark, monkeypatch):
+    """Of many lines with a run in common, only those that lengths and parities let be linked are read a second time."""
+    r = random.Random(29)
+    lines = [" ".join(["extraordinarily", "incomprehensible", "characteristics"] + [f"{r.choice('abcd')}{r.randrange(10**6)}" for _ in range(20 + k)]) for k in range(24)]
+    lines += [lines[5].replace("characteristics", "other"), lines[17] + " more"]
+    read = rows_stored(monkeypatch, "candidate-lines")
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id for x in line_dedup.judge(docs).collect() if x.n_removed}
+    assert got == gone_by_edits(lines) == {24, 25}
+    assert read == [4]
+
+
+def test_equal_buckets_are_one(spark, monkeypatch):
+    """Two near lines have many keys in common and meet once."""
+    line = [f"some{k}" for k in range(60)]
+    lines = [" ".join(line), " ".join([*line[:30], "other", *line[31:]])]
+    rows = rows_stored(monkeypatch, "shared-keys")
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert [x.doc_id for x in line_dedup.judge(docs).collect() if x.n_removed] == [1]
+    assert rows == [2]
+
+
+@pytest.mark.parametrize("scan, crowd", [(1, 64), (3, 3)])
+def test_large_buckets_keep_their_lines(spark, monkeypatch, scan, crowd):
+    """Above the limit on looking for partners all lines of a bucket go on; the links are those of all pairs."""
+    monkeypatch.setattr(line_dedup, "SCAN", scan)
+    monkeypatch.setattr(linkage, "CROWD", crowd)
+    r = random.Random(31)
+    some = lambda n: [f"{r.choice('abcdef')}{r.randrange(300)}" for _ in range(n)]
+    passage, lines = some(20), []
+    for _ in range(25):
+        base = some(r.randrange(0, 60)) + passage + some(r.randrange(0, 20))
+        for _ in range(r.choice([1, 2, 4])):
+            z = list(base)
+            for _ in range(r.randrange(0, max(1, len(z) // 8))):
+                z[r.randrange(len(z))] = some(1)[0]
+            lines.append(" ".join(z))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id for x in line_dedup.judge(docs).collect() if x.n_removed}
+    assert got == gone_by_edits(lines) and got
+
+
 def word_edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
