@@ -251,7 +251,10 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         apart = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in _WIDE]
         return sum(apart[1:], apart[0]) <= flips(F.col(f"{x}.n"), F.col(f"{y}.n"))
 
-    linked = linkage.link(keys, verifier, admit, ["rank", "n", "parity"], refine=refine, sketch=sketch, alike=alike)
+    def once(x: str, y: str) -> Column:
+        return F.col(f"{x}.key") == F.array_min(F.array_intersect(f"{x}.prefix", f"{y}.prefix"))
+
+    linked = linkage.link(keys, verifier, admit, ["rank", "n", "parity"], once=once, refine=refine, sketch=sketch, alike=alike)
     discard(keys, texts, *(() if fresh is None else (fresh,)))
     grouped = classes.join(linked.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     grouped = stored(grouped.select("h", "component", "first", "count"), "line-groups")
